@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import simhash
+from sparkloom.llm import bpe, langid, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash": simhash.op10_simhash}
+    return {
+        "op3_secrets": secrets.op3_secrets,
+        "op6_langid": langid.op6_langid,
+        "op9_bpe": bpe.op9_bpe,
+        "op10_simhash": simhash.op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
