@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkloom.llm.common import sliced
 
@@ -202,7 +203,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
             text = [v.decode(x or b"") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
 
-    return df.mapInArrow(run, df.schema.add("decoded", "string"))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", StringType())]))
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
