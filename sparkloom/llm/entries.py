@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, langid, secrets, simhash
+from sparkloom.llm import bpe, decontaminate, langid, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op3_secrets": secrets.op3_secrets,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_langid": langid.op6_langid,
         "op9_bpe": bpe.op9_bpe,
         "op10_simhash": simhash.op10_simhash,

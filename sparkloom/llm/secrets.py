@@ -195,13 +195,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, train
     return found.mapInArrow(rate, "id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", broadcast_rows: int = 200_000, **options) -> DataFrame:
     """``df`` with every span of the text replaced by ``mark``; overlapping spans are replaced as one. Null texts stay null.
 
-    Spans are joined back by id and the text's hash, so rows that share an id keep their own spans.
+    Spans are joined back by the text's hash: equal texts have equal spans. Up to ``broadcast_rows`` texts with
+    spans go to every executor, more are joined by a shuffle.
     """
-    keyed = df.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    found = scan(keyed, "_key", text_col, **options).where(F.size("spans") > 0).dropDuplicates(["id"])
+    keyed = df.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = materialize(scan(keyed, "_key", text_col, **options).where(F.size("spans") > 0).groupBy(F.col("id").alias("_key")).agg(F.first("spans").alias("spans")), "spans")
+    joined = keyed.join(F.broadcast(found) if found.count() <= broadcast_rows else found, "_key", "left").select(*df.columns, "spans")
+    at, names = df.columns.index(text_col), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -218,8 +221,6 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    at, names = df.columns.index(text_col), df.columns
-    joined = keyed.join(found.withColumnRenamed("id", "_key"), "_key", "left").select(*df.columns, "spans")
     return joined.mapInArrow(run, df.schema)
 
 

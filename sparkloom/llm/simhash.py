@@ -193,7 +193,11 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, lanes: int) ->
                 far = np.bitwise_count(words[i, 0] ^ words[j, 0]).astype(np.int32)
                 for lane in range(1, lanes):
                     far += np.bitwise_count(words[i, lane] ^ words[j, lane])
-                near = far <= radius
+                if lanes == 1:
+                    near = far <= radius
+                else:
+                    used = ((words[i] | words[j]) != 0).sum(axis=1)
+                    near = far * lanes <= radius * used
                 a.append(node[i[near]])
                 b.append(node[j[near]])
             if len(a) > 200:
@@ -223,7 +227,8 @@ def near_groups(
 ) -> DataFrame:
     """(id, sketch, component) of every row; component is the smallest id that links reach.
 
-    Links are pairs of sketches that differ in at most ``radius`` bits. ``guaranteed`` (default: radius) is the
+    Links are pairs of sketches that differ in at most ``radius`` bits; of several lanes, only those count in
+    which either text has shingles, and the radius shrinks with them. ``guaranteed`` (default: radius) is the
     distance up to which candidate search is certain to find a pair; beyond it a pair is found if it agrees in
     any one partition. ``sample`` bounds the sketches on which partitions and thresholds are planned.
     """
@@ -251,6 +256,25 @@ def near_groups(
     return marks.join(nodes, "sketch").select("id", "sketch", "component")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.8, k: int = 5, lanes: int = 8, parts: int = 5, **options) -> DataFrame:
+    """``df`` with one row, that of the smallest id, of each group of near copies; equal rows are one.
+
+    A Jaccard similarity of shingle sets is a cosine of 2J / (1 + J) and so an expected share of differing bits,
+    which is the radius. A pair is found if it agrees in one of ``lanes * parts`` partitions; at the default
+    settings and a similarity of 0.8 that is expected of 99 in 100 pairs, of more similar ones nearly always.
+    """
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col), F.lit("")))
+    keyed = df.withColumn("_key", key)
+    found = near_groups(keyed, "_key", text_col, k=k, radius=round(64 * lanes * angle), lanes=lanes, choices=(parts,), guaranteed=lanes * parts - 1, **options)
+    found = found.select(F.col("id").alias("_key"), "component").join(keyed.select("_key", F.col(id_col).alias("i")), "_key")
+    first = materialize(found.groupBy("component").agg(F.min_by("_key", F.struct("i", "_key")).alias("_key"), F.count("*").alias("rows"), F.countDistinct("_key").alias("keys")), "kept")
+    out = keyed.join(first.select("_key"), "_key", "left_semi")
+    if first.where("rows > keys").limit(1).count():
+        out = out.dropDuplicates(["_key"])
+    return out.drop("_key")
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 2 or fewer differing bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
