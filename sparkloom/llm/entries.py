@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, decontaminate, langid, secrets, simhash
+from sparkloom.llm import bpe, chat, decontaminate, langid, secrets, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_sharding": sharding.op1_sharding,
         "op3_secrets": secrets.op3_secrets,
+        "op4_chat": chat.op4_chat,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_langid": langid.op6_langid,
+        "op7_warc": warc.op7_warc,
         "op9_bpe": bpe.op9_bpe,
         "op10_simhash": simhash.op10_simhash,
     }
