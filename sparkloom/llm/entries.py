@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chat, decontaminate, langid, secrets, sharding, simhash, warc
+from sparkloom.llm import bpe, chat, decontaminate, langid, multiindex, secrets, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_sharding": sharding.op1_sharding,
+        "op2_embeddings": multiindex.op2_embeddings,
         "op3_secrets": secrets.op3_secrets,
         "op4_chat": chat.op4_chat,
         "op5_decontaminate": decontaminate.op5_decontaminate,
