@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chat, decontaminate, langid, multiindex, secrets, sharding, simhash, warc
+from sparkloom.llm import bpe, chat, decontaminate, langid, multiindex, secrets, sharding, simhash, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_langid": langid.op6_langid,
         "op7_warc": warc.op7_warc,
+        "op8_suffixes": suffixes.op8_suffixes,
         "op9_bpe": bpe.op9_bpe,
         "op10_simhash": simhash.op10_simhash,
     }
