@@ -2,7 +2,9 @@
 
 The tree's leaf i holds the rank of the pair that starts at symbol i; its root is the lowest rank and, among
 equals, the leftmost place. A merge changes at most three leaves, each in logarithmic time, so a word of n
-symbols takes O(n log n), however long it is. The vocabulary file is read on the driver and broadcast; its size
+symbols takes O(n log n), however long it is. Words that a batch of rows has in common are merged once, and
+all of them together: the trees of words of up to WIDE symbols stand in arrays, a row a word, and each step takes
+every word's root at a time. Longer words go one by one. The vocabulary file is read on the driver and broadcast; its size
 does not depend on the data.
 
 Defined results: a null text is the empty text and has no tokens; rows come out as they go in (repeated rows,
@@ -28,6 +30,8 @@ from sparkloom.llm.common import sliced
 
 #: From here on a leaf has no pair, or one that has no merge.
 NONE = 1 << 62
+#: Words of up to so many symbols are merged together.
+WIDE = 32
 
 
 def byte_symbols() -> list[str]:
@@ -90,7 +94,7 @@ class Vocabulary:
     suffix, special tokens that are cut out of the raw text first. Other settings are refused.
     """
 
-    def __init__(self, text: str, cache: int = 300_000):
+    def __init__(self, text: str, cache: int = 60_000):
         d = json.loads(text)
         m = d["model"]
         kinds = [x["type"] for x in (d["normalizer"] or {}).get("normalizers", [])]
@@ -102,6 +106,10 @@ class Vocabulary:
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
         self.ranks = {(self.vocab[a], self.vocab[b]): i << 32 for i, (a, b) in enumerate(pairs)}
         self.merged = [self.vocab[a + b] for a, b in pairs]
+        self.wide = max(self.vocab.values()) + 1
+        keys = np.array([self.vocab[a] * self.wide + self.vocab[b] for a, b in pairs], np.int64)
+        self.rank_of = np.argsort(keys, kind="stable")
+        self.keys, self.new = keys[self.rank_of], np.array(self.merged, np.int64)
         self.special = {x["content"]: x["id"] for x in d["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -109,6 +117,8 @@ class Vocabulary:
         chars = byte_symbols()
         self.first = [self.vocab.get(c, -1) for c in chars]
         self.last = [self.vocab.get(c + self.suffix, -1) for c in chars]
+        self.whole = min(*self.first, *self.last) >= 0
+        self.starts, self.ends = np.array(self.first, np.int64), np.array(self.last, np.int64)
         self.cache, self.known, self.seen = cache, {}, {}
 
     def word(self, word: str) -> list[int]:
@@ -120,40 +130,107 @@ class Vocabulary:
             symbols = [x for x in symbols if x >= 0]
         return merge(symbols, self.ranks, self.merged)
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a stretch without white space. Pre-tokens and the normalisers' work never cross white space."""
-        piece = chunk
-        if not piece.isascii():
-            # Lower-casing goes letter by letter, so a final sigma is an ordinary one.
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        out = []
-        for w in self.words.findall(piece.lower()):
-            if (ids := self.known.get(w)) is None:
-                ids = np.array(self.word(w), "<u4").tobytes()
-                if len(w) <= 64:
-                    if len(self.known) >= self.cache:
-                        self.known.clear()
-                    self.known[w] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(chunk) <= 64:
-            if len(self.seen) >= self.cache:
-                self.seen.clear()
-            self.seen[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
+    def _leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leaves of the pairs a, b at their places."""
+        key = a * self.wide + b
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[i] == key) & (a >= 0) & (b >= 0), (self.rank_of[i] << 32) + at, NONE)
+
+    def _together(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids of words of up to ``width`` symbols, a power of 2."""
+        n = np.array([len(w) for w in words])
+        rows, cols = np.arange(len(words)), np.arange(width)
+        sym = np.full((len(words), width + 1), -1, np.int64)
+        sym[:, :width][cols < n[:, None]] = self.starts[np.frombuffer(b"".join(words), np.uint8)]
+        sym[rows, n - 1] = self.ends[np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)]
+        tree = [self._leaves(sym[:, :-1], sym[:, 1:], cols[None, :])]
+        while tree[-1].shape[1] > 1:
+            tree.append(np.minimum(tree[-1][:, ::2], tree[-1][:, 1::2]))
+        after = np.broadcast_to(np.append(cols + 1, width), sym.shape).copy()
+        before = np.broadcast_to(np.append(cols - 1, width - 1), sym.shape).copy()
+
+        def put(r: np.ndarray, i: np.ndarray, value: np.ndarray | int) -> None:
+            tree[0][r, i] = value
+            for low, high in zip(tree[:-1], tree[1:], strict=True):
+                i = i >> 1
+                high[r, i] = np.minimum(low[r, 2 * i], low[r, 2 * i + 1])
+
+        live = rows
+        while True:
+            root = tree[-1][live, 0]
+            live, root = live[root < NONE], root[root < NONE]
+            if not len(live):
+                break
+            i = root & 0xFFFFFFFF
+            j = after[live, i]
+            new = self.new[root >> 32]
+            k = after[live, j]
+            sym[live, i], sym[live, j], after[live, i], before[live, k] = new, -1, k, i
+            put(live, j, NONE)
+            put(live, i, self._leaves(new, np.where(k < width, sym[live, k], -1), i))
+            h = before[live, i]
+            r = np.flatnonzero(h >= 0)
+            put(live[r], h[r], self._leaves(sym[live[r], h[r]], new[r], h[r]))
+        ids = sym[:, :width]
+        there = ids >= 0
+        blob = ids[there].astype("<u4").tobytes()
+        end = 4 * np.cumsum(there.sum(1))
+        return [blob[x:y] for x, y in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
+
+    def words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens."""
+        raw = [w.encode() for w in words]
+        out: list[bytes] = [b""] * len(words)
+        low = 0
+        for width in (8, 16, WIDE) if self.whole else ():
+            at = [i for i, w in enumerate(raw) if low < len(w) <= width]
+            for lo in range(0, len(at), 20_000):
+                part = at[lo : lo + 20_000]
+                for i, ids in zip(part, self._together([raw[i] for i in part], width), strict=True):
+                    out[i] = ids
+            low = width
+        for i, w in enumerate(raw):
+            if len(w) > low:
+                out[i] = np.array(self.word(words[i]), "<u4").tobytes()
+        return out
+
+    def _chunks(self, text: str) -> list[str]:
+        """Stretches without white space; the normalisers' work and pre-tokens never cross white space. Special tokens stand alone."""
+        out: list[str] = []
         for piece in self.cut.split(text) if self.cut and any(x in text for x in self.special) else [text]:
             if piece in self.special:
-                out.append(self.special[piece].to_bytes(4, "little"))
+                out.append(piece)
+            else:
+                # str.split also splits at the four separator controls, which the patterns don't take as white space.
+                out += piece.split() if not any(c in piece for c in "\x1c\x1d\x1e\x1f") else regex.split(r"\s+", piece)
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers; what the texts share is worked out once."""
+        if len(self.seen) > self.cache:
+            self.seen = {}
+        if len(self.known) > self.cache:
+            self.known = {}
+        chunks = [self._chunks(t) for t in texts]
+        seen, known = self.seen, self.known
+        fresh: dict[str, list[str]] = {}
+        for c in set().union(*chunks) - seen.keys():
+            if c in self.special:
+                seen[c] = self.special[c].to_bytes(4, "little")
                 continue
-            # str.split also splits at the four separator controls, which the patterns don't take as white space.
-            chunks = piece.split() if not any(c in piece for c in "\x1c\x1d\x1e\x1f") else regex.split(r"\s+", piece)
-            seen, chunk = self.seen, self._chunk
-            out.extend([seen[c] if c in seen else chunk(c) for c in chunks])
-        return b"".join(out)
+            piece = c
+            if not piece.isascii():
+                # Lower-casing goes letter by letter, so a final sigma is an ordinary one.
+                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+            fresh[c] = self.words.findall(piece.lower())
+        missing = list(set().union(*fresh.values()) - known.keys())
+        known.update(zip(missing, self.words_ids(missing), strict=True))
+        for c, found in fresh.items():
+            seen[c] = b"".join([known[w] for w in found])
+        return [b"".join([seen[c] for c in x]) for x in chunks]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings joined by a space; ids that stand for nothing are left out."""
@@ -185,7 +262,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared, key)
         for b in sliced(batches):
-            ids = [v.encode(t or "") for t in b.column(len(keep)).to_pylist()]
+            ids = v.encode_many([t or "" for t in b.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
