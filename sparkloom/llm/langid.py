@@ -23,12 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sparkloom.llm.common import sliced
 
 WORD = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
-Model = tuple[list[str], dict[str, np.ndarray], dict[str, np.ndarray]]
+#: Languages, word and piece indexes, and a row of scores for each word and piece.
+Model = tuple[list[str], dict[str, int], np.ndarray, dict[str, int], np.ndarray]
 
 
 def words(text: str | None) -> list[str]:
@@ -47,7 +49,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     # A bound on the hash takes about per_lang texts of a language in one scan, without sorting the corpus.
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(2**63 - 1, int(min(1.0, per_lang / v) * 2**64) - 2**63))]) if n else None
     if share is None:
-        return [], {}, {}
+        return [], {}, np.zeros((0, 0)), {}, np.zeros((0, 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, Counter] = defaultdict(Counter)
@@ -68,81 +70,82 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             for k in ORDERS:
                 for p in pieces(w, k):
                     parts[k][x][p] += c
-    table: dict[str, np.ndarray] = {}
-    for k in ORDERS:
-        table |= logs([Counter(dict(sorted(parts[k][x].items(), key=lambda y: (-y[1], y[0]))[:grams])) for x in langs])
-    return langs, logs([top[x] for x in langs]), table
+    pieces_of = [logs([Counter(dict(sorted(parts[k][x].items(), key=lambda y: (-y[1], y[0]))[:grams])) for x in langs]) for k in ORDERS]
+    index = {g: i for i, g in enumerate(g for keys, _ in pieces_of for g in keys)}
+    return langs, *logs([top[x] for x in langs]), index, np.concatenate([t for _, t in pieces_of])
 
 
-def logs(counts: list[Counter]) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies of each key in each language, as differences from the key's mean."""
-    size = [math.log(sum(c.values()) + 0.5 * len(c) + 1) for c in counts]
-    out = {}
-    for key in set().union(*counts) if counts else ():
-        v = np.array([math.log(c.get(key, 0) + 0.5) - z for c, z in zip(counts, size, strict=True)])
-        out[key] = v - v.mean()
-    return out
+def logs(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
+    """Keys and their smoothed log frequencies in each language, as differences from the key's mean."""
+    keys = sorted(set().union(*counts)) if counts else []
+    table = np.array([[c.get(k, 0) + 0.5 for c in counts] for k in keys], float).reshape(len(keys), len(counts))
+    table = np.log(table) - np.array([math.log(sum(c.values()) + 0.5 * len(c) + 1) for c in counts])
+    return {k: i for i, k in enumerate(keys)}, table - table.mean(axis=1, keepdims=True) if len(keys) else table
 
 
 class Scorer:
-    """Sums of word scores; rows of seen words are kept up to ``cache`` of them."""
+    """Scores of texts. Stretches between white space are counted and worked out once each, up to ``cache`` are kept."""
 
-    def __init__(self, model: Model, evidence: int = 20, cache: int = 150_000):
-        self.langs, self.known, self.grams = model
+    def __init__(self, model: Model, evidence: int = 20, cache: int = 60_000):
+        self.langs, self.known, self.word_scores, self.grams, self.gram_scores = model
         self.evidence, self.cache = evidence, cache
-        self.clear()
-
-    def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((self.cache, max(1, len(self.langs))))
+        self.table = np.zeros((0, len(self.langs) + 1))
 
     def vector(self, word: str) -> np.ndarray:
-        if (v := self.known.get(word)) is not None:
-            return v
+        if (i := self.known.get(word)) is not None:
+            return self.word_scores[i]
         for n in ORDERS:
-            if found := [g for p in pieces(word, n) if (g := self.grams.get(p)) is not None]:
-                return np.mean(found, axis=0)
+            if found := [i for p in pieces(word, n) if (i := self.grams.get(p)) is not None]:
+                return self.gram_scores[found].sum(axis=0) / len(found)
         return np.zeros(len(self.langs))
 
-    def row(self, word: str) -> int:
-        if (i := self.rows.get(word)) is None:
-            i = self.rows[word] = len(self.rows)
-            self.table[i] = self.vector(word)
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(words(text))
-        if not found or not self.langs:
-            return "und", 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        keys = list(found)
-        for lo in range(0, len(keys), 10_000):
-            part = keys[lo : lo + 10_000]
-            if len(self.rows) + len(part) > self.cache:
-                self.clear()
-            times = np.array([found[w] for w in part], float)
-            total += times @ self.table[[self.row(w) for w in part]]
-            n += int(times.sum())
-        x = total * min(1.0, self.evidence / n)
-        p = np.exp(x - x.max())
-        best = int(np.argmax(x))
-        return self.langs[best], float(p[best] / p.sum())
-
-
-def predict(df: DataFrame, model: Model, text_col: str = "text", evidence: int = 20) -> DataFrame:
-    """``df`` with lang_pred and score. The model's size is bounded by its languages and kept entries, so it is broadcast."""
-    if clash := {"lang_pred", "score"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} are in the table already; rename or drop them")
-    shared, at, names = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col), [*df.columns, "lang_pred", "score"]
+    def learn(self, stretches: set[str]) -> None:
+        """Rows of the summed scores and the number of words of stretches."""
+        if len(self.rows) > self.cache:
+            self.rows, self.table = {}, self.table[:0]
+        fresh = [c for c in stretches if c not in self.rows]
+        new = np.zeros((len(fresh), len(self.langs) + 1))
+        for row, c in zip(new, fresh, strict=True):
+            for w in WORD.findall(c):
+                row[:-1] += self.vector(w)
+                row[-1] += 1
+        self.rows.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
+        self.table = np.concatenate([self.table, new])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        counts = [Counter(t.lower().split()) if t else Counter() for t in texts]
+        out: list[tuple[str, float]] = []
+        for lo in range(0, len(counts), 256):
+            part = counts[lo : lo + 256]
+            self.learn(set().union(*part))
+            for c in part:
+                total = np.array(list(c.values()), float) @ self.table[[self.rows[w] for w in c]] if c else np.zeros(1)
+                if not total[-1] or not self.langs:
+                    out.append(("und", 0.0))
+                    continue
+                x = total[:-1] * min(1.0, self.evidence / total[-1])
+                p = np.exp(x - x.max())
+                best = int(np.argmax(x))
+                out.append((self.langs[best], float(p[best] / p.sum())))
+        return out
+
+
+def predict(df: DataFrame, model: Model, text_col: str = "text", evidence: int = 20, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with the predicted language and its score in the columns ``out``; columns that have those names give way.
+
+    The model's size is bounded by its languages and kept entries, so it is broadcast.
+    """
+    df = df.drop(*(c for c in df.columns if c.lower() in {x.lower() for x in out} and c != text_col))
+    shared, at, names = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col), [*df.columns, *out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, evidence)
         for b in sliced(batches):
-            out = [scorer.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names)
+            found = scorer.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
 
-    schema = type(df.schema)(list(df.schema.fields)).add("lang_pred", "string").add("score", "double")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
