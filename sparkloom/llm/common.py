@@ -1,9 +1,7 @@
-"""Shared pieces of the text operators: shared-folder tables, connected components, session defaults."""
+"""Shared pieces of the text operators: connected components, forests of links, batches of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,36 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.storage import materialize, new_path, shared_dir
+
+__all__ = ["NULL_ID", "connected_components", "forest", "materialize", "new_path", "partitions", "shared_dir", "sliced", "unused", "utf8"]
+
 #: Stands for a null id where an id must be ordered or joined; it sorts below every other id.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of this machine where that is unset."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(at)
-        at = sc._jsc.sc().getCheckpointDir().get()
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(jpath)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of the columns has, in either case."""
+    taken = {c.lower() for c in columns}
+    return next(x for x in (f"_{name}{i}" for i in range(len(taken) + 1)) if x not in taken)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, sliced
+from sparkloom.llm.common import materialize, sliced, unused
 
 TOKEN = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -223,8 +223,9 @@ def remove(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     b = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     if (b.agg(F.sum(F.length("text"))).first()[0] or 0) > 4 * broadcast_tokens:
         key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-        found = contaminated(docs.withColumn("_key", key), bench, "_key", text_col, item_col, item_text, seed=seed, threshold=threshold, broadcast_tokens=broadcast_tokens)
-        return docs.withColumn("_key", key).join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+        at = unused("key", docs.columns)
+        found = contaminated(docs.withColumn(at, key), bench, at, text_col, item_col, item_text, seed=seed, threshold=threshold, broadcast_tokens=broadcast_tokens)
+        return docs.withColumn(at, key).join(found.select(F.col("doc_id").alias(at)).distinct(), at, "left_anti").select(*docs.columns)
     shared, at = docs.sparkSession.sparkContext.broadcast(Bench([tuple(r) for r in b.collect()], seed)), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,8 @@ class MultiIndex:
         self.half = sample.shape[1] // 2
         a, b = sample[:, : self.half], sample[:, self.half :]
         self.books = (kmeans(a, size, rng), kmeans(b, size, rng))
+        # Small samples are turned more than once.
+        sample = np.tile(sample, (-(-4096 // len(sample)), 1))
         n = len(sample)
         noise = rng.standard_normal((n, sample.shape[1]))
         noise -= (noise * sample).sum(1, keepdims=True) * sample

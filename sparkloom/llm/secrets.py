@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, sliced
+from sparkloom.llm.common import materialize, sliced, unused
 
 #: Fixed patterns and lengths of the base kinds, in the order in which spans with equal starts are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -201,9 +201,10 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark:
     Spans are joined back by the text's hash: equal texts have equal spans. Up to ``broadcast_rows`` texts with
     spans go to every executor, more are joined by a shuffle.
     """
-    keyed = df.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = materialize(scan(keyed, "_key", text_col, **options).where(F.size("spans") > 0).groupBy(F.col("id").alias("_key")).agg(F.first("spans").alias("spans")), "spans")
-    joined = keyed.join(F.broadcast(found) if found.count() <= broadcast_rows else found, "_key", "left").select(*df.columns, "spans")
+    key, own = unused("key", df.columns), unused("spans", df.columns)
+    keyed = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = materialize(scan(keyed, key, text_col, **options).where(F.size("spans") > 0).groupBy(F.col("id").alias(key)).agg(F.first("spans").alias(own)), "spans")
+    joined = keyed.join(F.broadcast(found) if found.count() <= broadcast_rows else found, key, "left").select(*df.columns, own)
     at, names = df.columns.index(text_col), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@ the row count and the seed, so shard and slot of a row number, and the row numbe
 computed without a look at the data.
 
 Defined results: null keys sort first; rows equal in every order column may exchange their places, which changes
-nothing if they are equal; columns of the input pass through, and one named like an output column is an error;
-an empty table gives no rows.
+nothing if they are equal; columns of the input pass through, but one named like an output column gives way to it
+(after ordering by it, if it is an order column); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -111,9 +111,11 @@ def number_rows(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
 
 def shard(df: DataFrame, order: list[str], shards: int, seed: int = 0) -> DataFrame:
     """``df`` with row_number, shard int and slot long; shard sizes differ by at most one row and slots have no gaps."""
-    if clash := {"row_number", "shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} are in the table already; rename or drop them")
-    rows, n = number_rows(df, order)
+    taken = {c.lower() for c in df.columns}
+    keys = [next(f"order_{i}_{j}" for j in range(len(taken) + 1) if f"order_{i}_{j}" not in taken) for i in range(len(order))]
+    df = df.withColumns({k: F.col(c) for k, c in zip(keys, order, strict=True)}).drop(*(c for c in df.columns if c.lower() in {"row_number", "shard", "slot", "_scan", "_at"}))
+    rows, n = number_rows(df, keys)
+    rows = rows.drop(*keys)
     walk, names = Feistel(n, seed), [*rows.columns, "shard", "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, connected_components, forest, materialize, partitions, sliced, utf8
+from sparkloom.llm.common import NULL_ID, connected_components, forest, materialize, partitions, sliced, unused, utf8
 
 #: Shingles of a text that are hashed at once.
 CHUNK = 1 << 16
@@ -265,14 +265,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = df.withColumn("_key", key)
-    found = near_groups(keyed, "_key", text_col, k=k, radius=round(64 * lanes * angle), lanes=lanes, choices=(parts,), guaranteed=lanes * parts - 1, **options)
-    found = found.select(F.col("id").alias("_key"), "component").join(keyed.select("_key", F.col(id_col).alias("i")), "_key")
+    at = unused("key", df.columns)
+    keyed = df.withColumn(at, key)
+    found = near_groups(keyed, at, text_col, k=k, radius=round(64 * lanes * angle), lanes=lanes, choices=(parts,), guaranteed=lanes * parts - 1, **options)
+    found = found.select(F.col("id").alias("_key"), "component").join(keyed.select(F.col(at).alias("_key"), F.col(id_col).alias("i")), "_key")
     first = materialize(found.groupBy("component").agg(F.min_by("_key", F.struct("i", "_key")).alias("_key"), F.count("*").alias("rows"), F.countDistinct("_key").alias("keys")), "kept")
-    out = keyed.join(first.select("_key"), "_key", "left_semi")
+    out = keyed.join(first.select(F.col("_key").alias(at)), at, "left_semi")
     if first.where("rows > keys").limit(1).count():
-        out = out.dropDuplicates(["_key"])
-    return out.drop("_key")
+        out = out.dropDuplicates([at])
+    return out.select(*df.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
