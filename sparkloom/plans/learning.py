@@ -120,8 +120,8 @@ ORACLES = {
     "nb_cv": nb_sql(),
     "ols_fit": "SELECT 'bias' AS feature, round(regr_intercept(l_extendedprice, l_quantity), 4) AS weight FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4) FROM lineitem",
     "ridge_fit": "WITH m AS (SELECT covar_pop(l_quantity, l_extendedprice) * count(*) / (var_pop(l_quantity) * count(*) + 1000) AS w, avg(l_quantity) AS x, avg(l_extendedprice) AS y FROM lineitem) SELECT 'bias' AS feature, round(y - w * x, 4) AS weight FROM m UNION ALL SELECT 'l_quantity', round(w, 4) FROM m",
-    "lasso_fit": "WITH m AS (SELECT (covar_pop(l_quantity, l_extendedprice) - 500) / var_pop(l_quantity) AS w, avg(l_quantity) AS x, avg(l_extendedprice) AS y FROM lineitem) SELECT 'bias' AS feature, round(y - w * x, 4) AS weight FROM m UNION ALL SELECT 'l_quantity', round(w, 4) FROM m",
-    "elastic_net_fit": "WITH m AS (SELECT (covar_pop(l_quantity, l_extendedprice) - 50) / (var_pop(l_quantity) + 50) AS w, avg(l_quantity) AS x, avg(l_extendedprice) AS y FROM lineitem) SELECT 'bias' AS feature, round(y - w * x, 4) AS weight FROM m UNION ALL SELECT 'l_quantity', round(w, 4) FROM m",
+    "lasso_fit": "WITH m AS (SELECT sign(covar_pop(l_quantity, l_extendedprice)) * greatest(abs(covar_pop(l_quantity, l_extendedprice)) - 500, 0) / var_pop(l_quantity) AS w, avg(l_quantity) AS x, avg(l_extendedprice) AS y FROM lineitem) SELECT 'bias' AS feature, round(y - w * x, 4) AS weight FROM m UNION ALL SELECT 'l_quantity', round(w, 4) FROM m",
+    "elastic_net_fit": "WITH m AS (SELECT sign(covar_pop(l_quantity, l_extendedprice)) * greatest(abs(covar_pop(l_quantity, l_extendedprice)) - 50, 0) / (var_pop(l_quantity) + 50) AS w, avg(l_quantity) AS x, avg(l_extendedprice) AS y FROM lineitem) SELECT 'bias' AS feature, round(y - w * x, 4) AS weight FROM m UNION ALL SELECT 'l_quantity', round(w, 4) FROM m",
     "knn_classif": f"WITH {_near}, v AS (SELECT q, label, count(*) AS c FROM n WHERE r <= 5 GROUP BY 1, 2) SELECT q AS vec_id, arg_max(label, c * 100 + label)::INT AS predicted FROM v GROUP BY 1",
     "knn_regress": f"WITH {_near} SELECT q AS query, round(avg((vec_id % 17)::DOUBLE), 6) AS predicted FROM n WHERE r <= 5 GROUP BY 1",
     "dbscan": f"WITH RECURSIVE {POINTS}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM pts a JOIN pts b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.015::DOUBLE), c AS (SELECT a FROM p GROUP BY 1 HAVING count(*) >= 4), e AS (SELECT a, b FROM p WHERE a IN (SELECT a FROM c) AND b IN (SELECT a FROM c)), r AS (SELECT a AS n, a AS l FROM c UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.n), m AS (SELECT n, min(l) AS l FROM r GROUP BY 1), k AS (SELECT n, dense_rank() OVER (ORDER BY l) - 1 AS k FROM m), o AS (SELECT p.a AS n, min(k) AS k FROM p JOIN k ON k.n = p.b GROUP BY 1) SELECT vec_id AS id, coalesce(k.k, o.k, -1)::INT AS label FROM pts LEFT JOIN k ON k.n = vec_id LEFT JOIN o ON o.n = vec_id",
