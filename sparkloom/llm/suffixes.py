@@ -341,7 +341,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
 
     def met(rows: Iterator[tuple], dtype: np.dtype) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
         """(id, checksum, text, items of that text) of every text; a part's items come before its texts."""
-        z, now, blobs, items = zstandard.ZstdDecompressor(), None, [], None
+        z, now, blobs, items, ids = zstandard.ZstdDecompressor(), None, [], None, None
         for slot, kind, doc, blob in rows:
             if slot != now:
                 now, blobs, items = slot, [], None
@@ -351,11 +351,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
             if items is None:
                 items = np.frombuffer(b"".join(blobs), dtype)
                 items = items[np.lexsort((items["p"], items["crc"], items["doc"]))]
+                # A column of its own: a search in a field of records would copy the field each time.
+                ids = np.ascontiguousarray(items["doc"])
                 blobs = []
             text = z.decompress(blob)
             crc = zlib.crc32(text)
-            lo, hi = np.searchsorted(items["doc"], [doc, doc], "left")[0], np.searchsorted(items["doc"], doc, "right")
-            own = items[lo:hi]
+            own = items[np.searchsorted(ids, doc, "left") : np.searchsorted(ids, doc, "right")]
             yield doc, crc, text, own[own["crc"] == crc]
 
     bytes_of = np.dtype([*UNIT.descr, ("text", "u1", 2 * length - GRAM)])
