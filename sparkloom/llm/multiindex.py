@@ -132,10 +132,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     flat = flat.withColumn("node", node)
     live = flat.where("vec is not null and label is not null").withColumn("dim", F.octet_length("vec"))
     edges = counts = None
-    for r in live.groupBy("dim").count().collect():
+    for r in live.groupBy("dim").agg(F.count("*").alias("count"), F.approx_count_distinct("label").alias("labels")).collect():
         part = live.where(F.col("dim") == r["dim"]).select("node", "label", "vec")
         pick = np.stack([np.frombuffer(x[0], np.float64) for x in part.orderBy(F.xxhash64("node", F.lit(seed)), "node").select("vec").limit(sample).collect()])
-        found = materialize(_links(part, pick, r["count"], threshold, recall, block, seed), "links")
+        found = materialize(_links(part, pick, r["count"] // max(1, r["labels"]), threshold, recall, block, seed), "links")
         edges = found.where("b is not null").select("a", "b") if edges is None else edges.unionAll(found.where("b is not null").select("a", "b"))
         c = found.where("b is null").select("a", "n")
         counts = c if counts is None else counts.unionAll(c)
@@ -151,7 +151,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
 
 def _links(part: DataFrame, pick: np.ndarray, n: int, threshold: float, recall: float, block: int, seed: int) -> DataFrame:
-    """(a, b, n): forest edges (n null) and link counts of a node (b null)."""
+    """(a, b, n): forest edges (n null) and link counts of a node (b null). ``n`` is the mean number of vectors of a label: a cell of one label holds about 64."""
     spark = part.sparkSession
     size = int(np.clip(round((n / 64) ** 0.5), 2, 1024))
     if pick.shape[1] < 2:
