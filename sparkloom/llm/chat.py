@@ -215,4 +215,14 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))))).alias("x")).select("conv_id", "x.*")
-    return digests(segments(rows.unionByName(more)))
+    return digests(segments(rows.unionByName(more))).drop("fault")
+
+
+#: What op4_chat returns, from the rows alone.
+OP4_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ h AS (SELECT *, length(regexp_replace(text, '(\\|\[/ROLE\]|\[REPLY\]|\[/INST\]|\[INST\]|\[/SYS\]|\[ROLE|\[SYS\]|</s>|<s>|\])', 'x\1', 'g')) AS hidden,
+  CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 15 WHEN 'assistant' THEN 12 ELSE 16 + length(role) END AS marks FROM c)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(hidden + marks))::BIGINT AS formatted_chars FROM h GROUP BY 1"""

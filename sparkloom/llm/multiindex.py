@@ -256,3 +256,11 @@ def op2_embeddings(spark, sf_dir: str) -> DataFrame:
     """Links, component and keep flag of every vector: equal labels, cosine 0.93 or more."""
     out = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.withColumnRenamed("id", "vec_id")
+
+
+#: What op2_embeddings returns where every link is found, for vectors without nulls.
+OP2_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93::DOUBLE),
+ r AS (SELECT vec_id AS n, vec_id AS m FROM v UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+ c AS (SELECT n, min(m) AS component_id FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+ SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id"""
