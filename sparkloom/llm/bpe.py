@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from sparkloom.llm.common import sliced
 
@@ -32,6 +32,8 @@ from sparkloom.llm.common import sliced
 NONE = 1 << 62
 #: Words of up to so many symbols are merged together.
 WIDE = 32
+#: Texts that are worked on together.
+ROWS = 256
 
 
 def byte_symbols() -> list[str]:
@@ -94,7 +96,7 @@ class Vocabulary:
     suffix, special tokens that are cut out of the raw text first. Other settings are refused.
     """
 
-    def __init__(self, text: str, cache: int = 60_000):
+    def __init__(self, text: str, cache: int = 120_000):
         d = json.loads(text)
         m = d["model"]
         kinds = [x["type"] for x in (d["normalizer"] or {}).get("normalizers", [])]
@@ -184,8 +186,8 @@ class Vocabulary:
         low = 0
         for width in (8, 16, WIDE) if self.whole else ():
             at = [i for i, w in enumerate(raw) if low < len(w) <= width]
-            for lo in range(0, len(at), 20_000):
-                part = at[lo : lo + 20_000]
+            for lo in range(0, len(at), 4096):
+                part = at[lo : lo + 4096]
                 for i, ids in zip(part, self._together([raw[i] for i in part], width), strict=True):
                     out[i] = ids
             low = width
@@ -261,7 +263,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared, key)
-        for b in sliced(batches):
+        for b in sliced(batches, ROWS):
             ids = v.encode_many([t or "" for t in b.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
 
@@ -276,13 +278,28 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared, key)
-        for b in sliced(batches):
+        for b in sliced(batches, ROWS):
             text = [v.decode(x or b"") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", StringType())]))
 
 
+def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """What :func:`decode` makes of :func:`encode`, by one worker a task instead of two."""
+    shared, key = _share(df.sparkSession, path)
+    names = [*keep, "n_tokens", "ids", "decoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(shared, key)
+        for b in sliced(batches, ROWS):
+            ids = v.encode_many([t or "" for t in b.column(len(keep)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([v.decode(x) for x in ids], pa.string())], names)
+
+    kinds = [StructField(c, df.schema[c].dataType) for c in keep]
+    return df.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, StructType([*kinds, StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())]))
+
+
 def default_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -293,5 +310,5 @@ def op9_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
     path = path or default_path()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = decode(encode(docs, path), path)
+    out = round_trip(docs, path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

@@ -86,7 +86,7 @@ def logs(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
 class Scorer:
     """Scores of texts. Stretches between white space are counted and worked out once each, up to ``cache`` are kept."""
 
-    def __init__(self, model: Model, evidence: int = 20, cache: int = 60_000):
+    def __init__(self, model: Model, evidence: int = 20, cache: int = 300_000):
         self.langs, self.known, self.word_scores, self.grams, self.gram_scores = model
         self.evidence, self.cache = evidence, cache
         self.rows: dict[str, int] = {}
@@ -141,7 +141,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", evidence: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, evidence)
-        for b in sliced(batches):
+        for b in sliced(batches, 256):
             found = scorer.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
 

@@ -280,6 +280,7 @@ def test_bpe_as_the_library(spark):
     out = bpe.decode(bpe.encode(docs(spark, ODD), path), path)
     assert out.count() == len(ODD) and bpe.encode(docs(spark, ODD).limit(0), path).count() == 0
     assert {r["n_tokens"] for r in out.where("doc_id in (1, 2, 3)").collect()} == {0}
+    assert sorted(map(str, bpe.round_trip(docs(spark, ODD), path).collect())) == sorted(map(str, out.collect()))
 
 
 def test_merges_together_and_one_by_one():
