@@ -12,6 +12,10 @@ Equal sketches are one node before anything is compared. Buckets above ``block``
 pairs are separate units of work, so no task gathers a bucket, and a unit emits a spanning forest of its links,
 never all pairs.
 
+With ``verify``, sketches are of distinct shingles and only propose: inside each component of proposed links every
+pair is held against the Jaccard similarity of the shingle sets, and only pairs that reach it are links. Large
+components are cut into blocks as buckets are.
+
 Defined results: a null or empty text has the zero sketch; a text of fewer words than a shingle is one shingle;
 a null id counts as the smallest id (its group's component is null); rows with the same id and different texts
 are separate nodes that share the id; columns besides id and text are ignored; an empty table gives no rows.
@@ -20,7 +24,7 @@ are separate nodes that share the id; columns besides id and text are ignored; a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -51,10 +55,20 @@ def shingle_hashes(text: bytes | None, k: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in spans]), dtype=">u8")
 
 
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The distinct shingles' hashes in rising order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(h.astype(np.uint64) for h in shingle_hashes(text, k))]))
+
+
 def sketch(text: bytes | None, k: int, lanes: int = 1) -> bytes:
     """The sketch as 8 * lanes big-endian bytes."""
+    return sketch_of(shingle_hashes(text, k), lanes)
+
+
+def sketch_of(hashes: Iterable[np.ndarray], lanes: int = 1) -> bytes:
+    """The sketch of big-endian hashes that come in chunks."""
     ones, n = np.zeros((lanes, 64), np.int64), np.zeros(lanes, np.int64)
-    for h in shingle_hashes(text, k):
+    for h in hashes:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
         if lanes == 1:
             ones[0] += bits.sum(axis=0, dtype=np.int64)
@@ -80,6 +94,23 @@ def sketches(df: DataFrame, id_col: str, text_col: str, k: int, lanes: int = 1)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, sketch binary")
 
 
+def set_sketches(df: DataFrame, id_col: str, text_col: str, k: int, lanes: int) -> DataFrame:
+    """(id, sketch binary, node, body), one row per row: the sketch of the distinct shingles, a hash of their set and one of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            marks, nodes = [], []
+            for t in utf8(b.column(1)):
+                x = shingle_set(t, k)
+                marks.append(sketch_of([x.astype(">u8")], lanes))
+                nodes.append(xxhash.xxh64_intdigest(x.tobytes()))
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary()), node, b.column(2)], ["id", "sketch", "node", "body"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
+    return rows.mapInArrow(run, "id long, sketch binary, node long, body long")
+
+
 def words_of(blobs: list[bytes], lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
 
@@ -172,8 +203,11 @@ def probes(nodes: DataFrame, scheme: list[tuple[tuple[int, ...], int]], lanes: i
     return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node long, sketch binary")
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, lanes: int) -> Iterator[pa.RecordBatch]:
-    """Forest edges of the links inside units; rows come sorted by unit. A unit that straddles batches is carried over."""
+def bucket_links(batches: Iterator[pa.RecordBatch], radius: int | list[int], lanes: int) -> Iterator[pa.RecordBatch]:
+    """Forest edges of the links inside units; rows come sorted by unit. A unit that straddles batches is carried over.
+
+    ``radius`` shrinks with the lanes in use, or is listed by their number."""
+    limits = np.array(radius) if isinstance(radius, list) else None
 
     def edges(bucket: np.ndarray, x: np.ndarray, y: np.ndarray, block: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(bucket), bool)
@@ -197,7 +231,7 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, lanes: int) ->
                     near = far <= radius
                 else:
                     used = ((words[i] | words[j]) != 0).sum(axis=1)
-                    near = far * lanes <= radius * used
+                    near = far * lanes <= radius * used if limits is None else far <= limits[used]
                 a.append(node[i[near]])
                 b.append(node[j[near]])
             if len(a) > 200:
@@ -222,22 +256,110 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, lanes: int) ->
         yield edges(*held)
 
 
+def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Forest edges of the pairs of sets, none of them empty, with a Jaccard similarity of ``similarity`` or more: a search in breadth, in which a set meets those not yet reached."""
+    size = np.array([len(x) for x in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    own = [code[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    mine = np.zeros(len(code), bool)
+    left, rest, todo, out = np.ones(len(sets), bool), np.arange(len(sets)), [], []
+    flat, starts = code, ends - size
+    while left.any() or todo:
+        if not todo:
+            todo.append(int(np.argmax(left)))
+            left[todo[0]] = False
+        i = todo.pop()
+        if 2 * left[rest].sum() <= len(rest) or len(rest) != len(starts):
+            rest = rest[left[rest]]
+            if not len(rest):
+                break
+            flat = np.concatenate([own[j] for j in rest.tolist()])
+            starts = np.cumsum(size[rest]) - size[rest]
+        mine[own[i]] = True
+        common = np.add.reduceat(mine[flat], starts, dtype=np.int64)
+        mine[own[i]] = False
+        for j in rest[left[rest] & (common / (size[rest] + size[i] - common) >= similarity)].tolist():
+            left[j] = False
+            todo.append(j)
+            out.append((i, j))
+    return out
+
+
+def verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Forest edges of the similar sets inside units (columns: three of the unit, node, set); rows come sorted by unit."""
+
+    def edges(node: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = similar(sets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], ["a", "b"])
+
+    unit, node, sets = None, [], []
+    for b in batches:
+        keys = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+        for i, (key, n) in enumerate(zip(keys, b.column(3).to_pylist(), strict=True)):
+            if key != unit:
+                if len(sets) > 1:
+                    yield edges(node, sets)
+                unit, node, sets = key, [], []
+            if x := b.column(4)[i].as_py():
+                node.append(n)
+                sets.append(np.frombuffer(x, "<u8"))
+    if len(sets) > 1:
+        yield edges(node, sets)
+
+
+def verify_links(df: DataFrame, text_col: str, marks: DataFrame, proposed: DataFrame, k: int, similarity: float, *, block: int = 64, most: int = 40, unit_bytes: int = 1 << 24, broadcast_rows: int = 500_000) -> DataFrame:
+    """Forest edges (a, b) of the pairs inside proposed components (node, component) whose shingle sets reach ``similarity``.
+
+    Only texts of proposed nodes are read again. A component of more than ``block`` sets is cut into as many blocks,
+    at most ``most`` unless a block would have more than ``unit_bytes``; each pair of blocks is a unit of work.
+    """
+    spark = df.sparkSession
+    proposed = materialize(proposed, "proposed")
+    wanted = materialize(marks.join(proposed, "node").groupBy("node").agg(F.min("body").alias("_body")), "wanted")
+    bodies = wanted.select("_body").distinct()
+    texts = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_body"))
+    texts = texts.join(F.broadcast(bodies) if wanted.count() <= broadcast_rows else bodies, "_body", "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 256):
+            sets = [shingle_set(t, k).astype("<u8").tobytes() for t in utf8(b.column(0))]
+            node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary())], ["node", "grams"])
+
+    grams = texts.mapInArrow(run, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
+    members = materialize(grams.join(proposed, "node"), "members")
+    parts = F.greatest(F.least(F.ceil(F.count("*") / block), F.lit(most)), F.ceil(F.sum(F.octet_length("grams")) / unit_bytes)).cast("int")
+    sizes = materialize(members.groupBy("component").agg(parts.alias("blocks")).where("blocks > 1"), "blocks")
+    units = members.join(F.broadcast(sizes) if sizes.count() <= broadcast_rows else sizes, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    units = units.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    units = units.select("component", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", "grams")
+    units = units.repartition(partitions(spark), "component", "x", "y").sortWithinPartitions("component", "x", "y")
+    return units.mapInArrow(lambda it: verified(it, similarity), "a long, b long")
+
+
 def near_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, radius: int = 2, lanes: int = 1, choices: tuple[int, ...] = (2, 3, 4), guaranteed: int | None = None, sample: int = 2048, block: int = 4096
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, radius: int | list[int] = 2, lanes: int = 1, choices: tuple[int, ...] = (2, 3, 4), guaranteed: int | None = None, sample: int = 2048, block: int = 4096, verify: float | None = None
 ) -> DataFrame:
     """(id, sketch, component) of every row; component is the smallest id that links reach.
 
     Links are pairs of sketches that differ in at most ``radius`` bits; of several lanes, only those count in
     which either text has shingles, and the radius shrinks with them. ``guaranteed`` (default: radius) is the
     distance up to which candidate search is certain to find a pair; beyond it a pair is found if it agrees in
-    any one partition. ``sample`` bounds the sketches on which partitions and thresholds are planned.
+    any one partition. ``sample`` bounds the sketches on which partitions and thresholds are planned. With
+    ``verify``, such pairs are only proposed (see above); equal shingle sets are one node. A list as ``radius`` has
+    the radius for each number of lanes in use.
     """
     spark = df.sparkSession
-    marks = materialize(sketches(df, id_col, text_col, k, lanes), "sketches")
-    nodes = materialize(marks.groupBy("sketch").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least")).select("sketch", "least", F.xxhash64("sketch").alias("node") if lanes > 1 else F.conv(F.hex("sketch"), 16, -10).cast("long").alias("node")), "nodes")
+    marks = materialize(sketches(df, id_col, text_col, k, lanes) if verify is None else set_sketches(df, id_col, text_col, k, lanes), "sketches")
+    same = "sketch" if verify is None else "node"
+    if verify is not None:
+        nodes = materialize(marks.groupBy("node").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"), F.first("sketch").alias("sketch")).select("sketch", "least", "node"), "nodes")
+    else:
+        nodes = materialize(marks.groupBy("sketch").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least")).select("sketch", "least", F.xxhash64("sketch").alias("node") if lanes > 1 else F.conv(F.hex("sketch"), 16, -10).cast("long").alias("node")), "nodes")
     some = [bytes(r[0]) for r in nodes.select("sketch").orderBy("node", "sketch").limit(sample).collect()] if lanes == 1 else [bytes(r[0]) for r in nodes.select("sketch").orderBy(F.xxhash64("node")).limit(sample).collect()]
     n = nodes.count()
-    scheme = plan(words_of(some, lanes) if some else np.zeros((0, lanes), np.uint64), n, radius if guaranteed is None else guaranteed, choices)
+    scheme = plan(words_of(some, lanes) if some else np.zeros((0, lanes), np.uint64), n, guaranteed if guaranteed is not None else radius if isinstance(radius, int) else max(radius), choices)
     looks = probes(nodes, scheme, lanes)
     hot = materialize(looks.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot")
     # At most len(scheme) * n / block buckets are hot; a small table of them goes to every executor.
@@ -250,24 +372,30 @@ def near_groups(
     units = units.repartition(partitions(spark), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "block")
     links = units.mapInArrow(lambda it: bucket_links(it, radius, lanes), "a long, b long")
     comp = connected_components(links, "a", "b")
-    nodes = nodes.join(comp, "node", "left").select("sketch", "least", F.coalesce("component", "node").alias("group"))
+    if verify is not None:
+        comp = connected_components(verify_links(df, text_col, marks, comp, k, verify), "a", "b")
+    nodes = nodes.join(comp, "node", "left").select(same, "least", F.coalesce("component", "node").alias("group"))
     least = nodes.groupBy("group").agg(F.min("least").alias("component"))
-    nodes = nodes.join(least, "group").select("sketch", F.when(F.col("component") != NULL_ID, F.col("component")).alias("component"))
-    return marks.join(nodes, "sketch").select("id", "sketch", "component")
+    nodes = nodes.join(least, "group").select(same, F.when(F.col("component") != NULL_ID, F.col("component")).alias("component"))
+    return marks.join(nodes, same).select("id", "sketch", "component")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.8, k: int = 5, lanes: int = 8, parts: int = 5, **options) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.8, k: int = 5, lanes: int = 8, parts: int = 6, **options) -> DataFrame:
     """``df`` with one row, that of the smallest id, of each group of near copies; equal rows are one.
 
-    A Jaccard similarity of shingle sets is a cosine of 2J / (1 + J) and so an expected share of differing bits,
-    which is the radius. A pair is found if it agrees in one of ``lanes * parts`` partitions; at the default
-    settings and a similarity of 0.8 that is expected of 99 in 100 pairs, of more similar ones nearly always.
+    Near copies are texts whose sets of ``k``-word shingles have a Jaccard similarity of ``similarity`` or more, or
+    that such pairs connect; each link is verified on the sets. Sketches only propose: the similarity is a cosine of
+    2J / (1 + J) and so an expected share of differing bits, and a pair is proposed up to three standard deviations
+    beyond it if it agrees in one of ``lanes * parts`` partitions. For a pair at exactly 0.8 with many shingles and
+    independent bits that is expected of 998 in 1,000, of more similar ones more often.
     """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    # Few shingles leave lanes empty, and one shingle then decides a lane.
+    radius = [math.ceil(64 * u * share + 3 * math.sqrt(64 * u * share * (1 - share))) + 32 * (0 < u < lanes) for u in range(lanes + 1)]
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col), F.lit("")))
     at = unused("key", df.columns)
     keyed = df.withColumn(at, key)
-    found = near_groups(keyed, at, text_col, k=k, radius=round(64 * lanes * angle), lanes=lanes, choices=(parts,), guaranteed=lanes * parts - 1, **options)
+    found = near_groups(keyed, at, text_col, k=k, radius=radius, lanes=lanes, choices=(parts,), guaranteed=lanes * parts - 1, verify=similarity, **options)
     found = found.select(F.col("id").alias("_key"), "component").join(keyed.select(F.col(at).alias("_key"), F.col(id_col).alias("i")), "_key")
     first = materialize(found.groupBy("component").agg(F.min_by("_key", F.struct("i", "_key")).alias("_key"), F.count("*").alias("rows"), F.countDistinct("_key").alias("keys")), "kept")
     out = keyed.join(first.select(F.col("_key").alias(at)), at, "left_semi")

@@ -331,3 +331,46 @@ def test_keep_one_of_each_group(spark):
     out = simhash.keep_one(docs(spark, rows))
     assert sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in out.collect()) == sorted([("4", " ".join(near)[:5]), ("7", " ".join(b)[:5]), ("None", "")])
     assert out.columns == docs(spark, rows).columns
+
+
+def five_word_sets(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block": 4}])
+def test_keep_one_links_by_exact_similarity(spark, sizes):
+    rng = random.Random(29)
+    rows, first = [], []
+    for i in range(240):
+        words = rng.choices(WORDS, k=100)
+        near = list(words)
+        for at in rng.sample(range(5, 95), rng.choice([2, 2, 3])):
+            near[at] = f"new{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+        a, b = five_word_sets(rows[-2][1]), five_word_sets(rows[-1][1])
+        first.append(len(a & b) / len(a | b))
+    assert sum(0.8 <= j < 0.85 for j in first) >= 50 and sum(0.7 <= j < 0.8 for j in first) >= 50
+    want = {2 * i for i in range(240)} | {2 * i + 1 for i in range(240) if first[i] < 0.8}
+    # Lines that repeat count once: the same sets, though the shares of the shingles differ.
+    words = rng.choices(WORDS, k=40)
+    rows += [(1000, " ".join(words * 2)), (1001, " ".join(words * 9))]
+    assert {r["doc_id"] for r in simhash.keep_one(docs(spark, rows), **sizes).collect()} == want | {1000}
+
+
+def test_similar_sets_are_those_of_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (6, 60), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[i % 6][rng.random(60) > 0.08], rng.integers(0, 2**63, i % 5, dtype=np.uint64)])) for i in range(120)] + [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(c := np.intersect1d(sets[i], sets[j])) / (len(sets[i]) + len(sets[j]) - len(c)) >= 0.8:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    got = list(range(len(sets)))
+    for i, j in simhash.similar(sets, 0.8):
+        a, b = got[i], got[j]
+        got = [min(a, b) if g in (a, b) else g for g in got]
+    assert got == group and group[-1] == len(sets) - 2 and 8 < len(set(group)) < 60
+    assert simhash.similar([], 0.8) == []
