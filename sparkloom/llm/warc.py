@@ -5,8 +5,8 @@ records' end, so they go to any file system that Spark writes to and survive los
 the records of a file. Reading parses by Content-Length; records meet through WARC-Concurrent-To, one nested row
 for each capture, and revisits find their response through WARC-Refers-To.
 
-Record ids derive from page_id and payload. Defined results: a null payload is empty; a null page_id is the
-smallest; rows with the same page_id and payload are one capture; a null or empty url is about:blank; line ends in
+Record ids derive from page_id, url, payload and an ordinal of the row, settled once in a written table. Defined
+results: a null payload is empty; a null page_id is the smallest; every row is a capture, repeated ones too; a null or empty url is about:blank; line ends in
 a url are percent-encoded; columns besides the three are ignored; an empty table gives no records and no rows.
 """
 
@@ -35,8 +35,8 @@ def sha1_32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, page: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page} {digest}')}>"
+def record_id(kind: str, page: int | None, digest: str, url: str | None, row: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page} {digest} {row} {url}')}>"
 
 
 def record(kind: str, rid: str, date: str, uri: str, content: str, block: bytes, **more: str) -> bytes:
@@ -45,14 +45,15 @@ def record(kind: str, rid: str, date: str, uri: str, content: str, block: bytes,
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block
 
 
-def transaction(page: int | None, url: str | None, payload: bytes, first: int | None, revisit: bool, date: str) -> list[bytes]:
+def transaction(page: int | None, url: str | None, payload: bytes, row: int, first: tuple[int | None, str | None, int] | None, date: str) -> list[bytes]:
+    """Request, response and metadata; a revisit of the row ``first`` (page, url, ordinal) if there is one."""
     digest = sha1_32(payload)
     uri = (url or "about:blank").replace("\r", "%0D").replace("\n", "%0A").strip()
-    rid = record_id("response", page, digest)
+    rid = record_id("response", page, digest, url, row)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     more = {"WARC_Payload_Digest": f"sha1:{digest}"}
-    if revisit:
-        main = record("revisit", rid, date, uri, "application/http; msgtype=response", http, **more, WARC_Profile=PROFILE, WARC_Refers_To=record_id("response", first, digest))
+    if first is not None:
+        main = record("revisit", rid, date, uri, "application/http; msgtype=response", http, **more, WARC_Profile=PROFILE, WARC_Refers_To=record_id("response", first[0], digest, first[1], first[2]))
     else:
         main = record("response", rid, date, uri, "application/http; msgtype=response", http + payload, **more)
     try:
@@ -60,8 +61,8 @@ def transaction(page: int | None, url: str | None, payload: bytes, first: int |
         path, host = (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), parts.netloc
     except ValueError:
         path, host = uri, ""
-    ask = record("request", record_id("request", page, digest), date, uri, "application/http; msgtype=request", f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode(), WARC_Concurrent_To=rid)
-    note = record("metadata", record_id("metadata", page, digest), date, uri, "application/warc-fields", f"page-id: {'' if page is None else page}\r\n".encode(), WARC_Concurrent_To=rid)
+    ask = record("request", record_id("request", page, digest, url, row), date, uri, "application/http; msgtype=request", f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode(), WARC_Concurrent_To=rid)
+    note = record("metadata", record_id("metadata", page, digest, url, row), date, uri, "application/warc-fields", f"page-id: {'' if page is None else page}\r\n".encode(), WARC_Concurrent_To=rid)
     return [ask, main, note]
 
 
@@ -73,15 +74,16 @@ def write(pages: DataFrame, path: str, page_col: str = "page_id", url_col: str =
     """
     rows = pages.select(F.coalesce(F.col(page_col).cast("long"), F.lit(NULL_ID)).alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("key", F.unhex(F.sha2(F.col("body").cast("binary"), 256))).withColumn("size", F.octet_length("body"))
-    same = materialize(rows.where(F.col("size") >= least_bytes).groupBy("key", "size").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first <> last").drop("last"), "payloads")
-    rows = rows.join(F.broadcast(same) if same.count() <= broadcast_rows else same, ["key", "size"], "left").select("page", "url", "body", "first")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    same = materialize(rows.where(F.col("size") >= least_bytes).groupBy("key", "size").agg(F.min(F.struct("page", "url", "row")).alias("first"), F.max("page").alias("last")).where("first.page <> last").drop("last"), "payloads")
+    rows = rows.join(F.broadcast(same) if same.count() <= broadcast_rows else same, ["key", "size"], "left").select("page", "url", "body", "row", F.when(F.col("first.page") != F.col("page"), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 256):
             out = []
-            for page, url, body, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for page, url, body, row, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 real = lambda x: None if x == NULL_ID else x
-                out += transaction(real(page), url, body, real(first), first is not None and first != page, date)
+                out += transaction(real(page), url, body, row, first and (real(first["page"]), first["url"], first["row"]), date)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
     rows.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)

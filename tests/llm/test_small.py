@@ -213,6 +213,16 @@ def test_warc_round_trip(spark):
     assert warc.resolved(warc.captures(warc.records(spark, path))).count() == 0
 
 
+def test_every_row_is_a_capture(spark):
+    rows = [(None, "http://a/", "x"), (None, "http://b/", "x"), (None, None, None), (None, None, None), (1, "http://a/", "x"), (1, "http://c/", "x"), (1, "http://c/", "x")]
+    path = new_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = warc.captures(warc.records(spark, path))
+    assert sorted(r["uri"] for r in found.select("response.uri").collect()) == sorted(u or "about:blank" for _, u, _ in rows)
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"]) for r in warc.resolved(found).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, "response")] * 2 + [(None, 0, "response")] * 2 + [(1, 1, "revisit")] * 3, key=str)
+
+
 def test_small_payloads_stay_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     path = new_path(spark, "warc")
