@@ -250,7 +250,6 @@ class Booster(Learner):
     objective: str = ""
     tau: float = 0.5
     monotone: dict[str, int] = field(default_factory=dict)
-    early_stopping: int = 0
     local_cells: int = 50_000_000
     id = "xgboost"
     properties = "CRWPNI"

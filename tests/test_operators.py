@@ -206,3 +206,9 @@ def test_filters_greedy_orders_all(numbers):
     for how in ("mrmr", "jmi", "jmim", "cmim"):
         assert sorted(r["score"] for r in S.greedy(numbers, ["a", "b", "c"], "y", how).collect()) == [1, 2, 3]
     assert S.select_top(S.variance(numbers, ["a", "b", "c"]), ["a", "b", "c"], 2)
+
+
+def test_boosting_takes_no_field_that_it_ignores():
+    from sparkloom.learners.boosting import Booster
+
+    assert not hasattr(Booster(), "early_stopping")
