@@ -40,23 +40,21 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the edges a-b: each node that is not its tree's smallest, with that smallest node."""
+    """A spanning forest of the edges a-b: each node that is not its tree's smallest, with that smallest node.
+
+    Larger roots are hooked to smaller ones until no edge joins two trees; paths are halved in between.
+    """
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(inverse[: len(a)].tolist(), inverse[len(a) :].tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    roots = np.array([find(x) for x in range(len(nodes))], dtype=np.int64)
-    moved = roots != np.arange(len(nodes))
-    return nodes[moved], nodes[roots[moved]]
+    x, y, root = inverse[: len(a)], inverse[len(a) :], np.arange(len(nodes))
+    while len(x):
+        p, q = root[x], root[y]
+        apart = p != q
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
 
 
 def connected_components(edges: DataFrame, a: str, b: str, limit: int = 60) -> DataFrame:
