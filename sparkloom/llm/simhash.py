@@ -14,7 +14,8 @@ never all pairs.
 
 With ``verify``, sketches are of distinct shingles and only propose: inside each component of proposed links every
 pair is held against the Jaccard similarity of the shingle sets, and only pairs that reach it are links. Large
-components are cut into blocks as buckets are.
+components are cut into blocks as buckets are. Sets and texts are told apart by hashes of 128 bits, and each distinct
+set gets a number of its own, settled in a written table.
 
 Defined results: a null or empty text has the zero sketch; a text of fewer words than a shingle is one shingle;
 a null id counts as the smallest id (its group's component is null); rows with the same id and different texts
@@ -30,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import NULL_ID, connected_components, forest, materialize, partitions, sliced, unused, utf8
@@ -94,21 +95,25 @@ def sketches(df: DataFrame, id_col: str, text_col: str, k: int, lanes: int = 1)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, sketch binary")
 
 
+def body_key(text_col: str) -> Column:
+    """A 128-bit hash of a text; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+
+
 def set_sketches(df: DataFrame, id_col: str, text_col: str, k: int, lanes: int) -> DataFrame:
-    """(id, sketch binary, node, body), one row per row: the sketch of the distinct shingles, a hash of their set and one of the text."""
+    """(id, sketch binary, same, body), one row per row: the sketch of the distinct shingles, 128-bit hashes of their set and of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            marks, nodes = [], []
+            marks, sames = [], []
             for t in utf8(b.column(1)):
                 x = shingle_set(t, k)
                 marks.append(sketch_of([x.astype(">u8")], lanes))
-                nodes.append(xxhash.xxh64_intdigest(x.tobytes()))
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary()), node, b.column(2)], ["id", "sketch", "node", "body"])
+                sames.append(xxhash.xxh3_128_digest(x.tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary()), pa.array(sames, pa.binary()), b.column(2)], ["id", "sketch", "same", "body"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
-    return rows.mapInArrow(run, "id long, sketch binary, node long, body long")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), body_key(text_col).alias("body"))
+    return rows.mapInArrow(run, "id long, sketch binary, same binary, body binary")
 
 
 def words_of(blobs: list[bytes], lanes: int) -> np.ndarray:
@@ -309,26 +314,25 @@ def verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 
 def verify_links(df: DataFrame, text_col: str, marks: DataFrame, proposed: DataFrame, k: int, similarity: float, *, block: int = 64, most: int = 40, unit_bytes: int = 1 << 24, broadcast_rows: int = 500_000) -> DataFrame:
-    """Forest edges (a, b) of the pairs inside proposed components (node, component) whose shingle sets reach ``similarity``.
+    """Forest edges (a, b) of the pairs inside proposed components (same, node, component) whose shingle sets reach ``similarity``.
 
     Only texts of proposed nodes are read again. A component of more than ``block`` sets is cut into as many blocks,
     at most ``most`` unless a block would have more than ``unit_bytes``; each pair of blocks is a unit of work.
     """
     spark = df.sparkSession
     proposed = materialize(proposed, "proposed")
-    wanted = materialize(marks.join(proposed, "node").groupBy("node").agg(F.min("body").alias("_body")), "wanted")
+    wanted = materialize(marks.join(proposed, "same").groupBy("same").agg(F.min("body").alias("_body")), "wanted")
     bodies = wanted.select("_body").distinct()
-    texts = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_body"))
+    texts = df.select(F.col(text_col).alias("text"), body_key(text_col).alias("_body"))
     texts = texts.join(F.broadcast(bodies) if wanted.count() <= broadcast_rows else bodies, "_body", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 256):
             sets = [shingle_set(t, k).astype("<u8").tobytes() for t in utf8(b.column(0))]
-            node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["same", "grams"])
 
-    grams = texts.mapInArrow(run, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams"))
-    members = materialize(grams.join(proposed, "node"), "members")
+    grams = texts.mapInArrow(run, "same binary, grams binary").groupBy("same").agg(F.first("grams").alias("grams"))
+    members = materialize(grams.join(proposed, "same").drop("same"), "members")
     parts = F.greatest(F.least(F.ceil(F.count("*") / block), F.lit(most)), F.ceil(F.sum(F.octet_length("grams")) / unit_bytes)).cast("int")
     sizes = materialize(members.groupBy("component").agg(parts.alias("blocks")).where("blocks > 1"), "blocks")
     units = members.join(F.broadcast(sizes) if sizes.count() <= broadcast_rows else sizes, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -338,26 +342,25 @@ def verify_links(df: DataFrame, text_col: str, marks: DataFrame, proposed: DataF
     return units.mapInArrow(lambda it: verified(it, similarity), "a long, b long")
 
 
-def near_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 3, radius: int | list[int] = 2, lanes: int = 1, choices: tuple[int, ...] = (2, 3, 4), guaranteed: int | None = None, sample: int = 2048, block: int = 4096, verify: float | None = None
-) -> DataFrame:
-    """(id, sketch, component) of every row; component is the smallest id that links reach.
+def grouped(
+    df: DataFrame, id_col: str, text_col: str, *, k: int = 3, radius: int | list[int] = 2, lanes: int = 1, choices: tuple[int, ...] = (2, 3, 4), guaranteed: int | None = None, sample: int = 2048, block: int = 4096, verify: float | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Marks, a row for every row (id, sketch and with ``verify`` body), and nodes (same, least, group); both have the column ``same``.
 
-    Links are pairs of sketches that differ in at most ``radius`` bits; of several lanes, only those count in
-    which either text has shingles, and the radius shrinks with them. ``guaranteed`` (default: radius) is the
-    distance up to which candidate search is certain to find a pair; beyond it a pair is found if it agrees in
-    any one partition. ``sample`` bounds the sketches on which partitions and thresholds are planned. With
-    ``verify``, such pairs are only proposed (see above); equal shingle sets are one node. A list as ``radius`` has
-    the radius for each number of lanes in use.
+    Rows of one ``same`` are one node, ``least`` is the node's smallest id (null counts as NULL_ID), ``group`` is common to
+    the nodes that links connect. For the options see ``near_groups``.
     """
     spark = df.sparkSession
-    marks = materialize(sketches(df, id_col, text_col, k, lanes) if verify is None else set_sketches(df, id_col, text_col, k, lanes), "sketches")
-    same = "sketch" if verify is None else "node"
-    if verify is not None:
-        nodes = materialize(marks.groupBy("node").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"), F.first("sketch").alias("sketch")).select("sketch", "least", "node"), "nodes")
+    if verify is None:
+        marks = materialize(sketches(df, id_col, text_col, k, lanes).withColumn("same", F.col("sketch")), "sketches")
     else:
-        nodes = materialize(marks.groupBy("sketch").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least")).select("sketch", "least", F.xxhash64("sketch").alias("node") if lanes > 1 else F.conv(F.hex("sketch"), 16, -10).cast("long").alias("node")), "nodes")
-    some = [bytes(r[0]) for r in nodes.select("sketch").orderBy("node", "sketch").limit(sample).collect()] if lanes == 1 else [bytes(r[0]) for r in nodes.select("sketch").orderBy(F.xxhash64("node")).limit(sample).collect()]
+        marks = materialize(set_sketches(df, id_col, text_col, k, lanes), "sketches")
+    # A sketch of 64 bits is its own number; other nodes are numbered once, in a written table.
+    number = F.conv(F.hex("sketch"), 16, -10).cast("long") if lanes == 1 and verify is None else F.monotonically_increasing_id()
+    nodes = marks.groupBy("same").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes.select("sketch", "least", "same", number.alias("node")), "nodes")
+    order = F.xxhash64("same") if lanes > 1 else F.col("node")
+    some = [bytes(r[0]) for r in nodes.select("sketch").orderBy(order, "same").limit(sample).collect()]
     n = nodes.count()
     scheme = plan(words_of(some, lanes) if some else np.zeros((0, lanes), np.uint64), n, guaranteed if guaranteed is not None else radius if isinstance(radius, int) else max(radius), choices)
     looks = probes(nodes, scheme, lanes)
@@ -373,11 +376,24 @@ def near_groups(
     links = units.mapInArrow(lambda it: bucket_links(it, radius, lanes), "a long, b long")
     comp = connected_components(links, "a", "b")
     if verify is not None:
-        comp = connected_components(verify_links(df, text_col, marks, comp, k, verify), "a", "b")
-    nodes = nodes.join(comp, "node", "left").select(same, "least", F.coalesce("component", "node").alias("group"))
+        comp = connected_components(verify_links(df, text_col, marks, comp.join(nodes.select("node", "same"), "node"), k, verify), "a", "b")
+    return marks, nodes.join(comp, "node", "left").select("same", "least", F.coalesce("component", "node").alias("group"))
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, sketch, component) of every row; component is the smallest id that links reach.
+
+    Links are pairs of sketches that differ in at most ``radius`` bits; of several lanes, only those count in
+    which either text has shingles, and the radius shrinks with them. ``guaranteed`` (default: radius) is the
+    distance up to which candidate search is certain to find a pair; beyond it a pair is found if it agrees in
+    any one partition. ``sample`` bounds the sketches on which partitions and thresholds are planned. With
+    ``verify``, such pairs are only proposed (see above); equal shingle sets are one node. A list as ``radius`` has
+    the radius for each number of lanes in use.
+    """
+    marks, nodes = grouped(df, id_col, text_col, **options)
     least = nodes.groupBy("group").agg(F.min("least").alias("component"))
-    nodes = nodes.join(least, "group").select(same, F.when(F.col("component") != NULL_ID, F.col("component")).alias("component"))
-    return marks.join(nodes, same).select("id", "sketch", "component")
+    nodes = nodes.join(least, "group").select("same", F.when(F.col("component") != NULL_ID, F.col("component")).alias("component"))
+    return marks.join(nodes, "same").select("id", "sketch", "component")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = 0.8, k: int = 5, lanes: int = 8, parts: int = 6, **options) -> DataFrame:
@@ -387,20 +403,21 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     that such pairs connect; each link is verified on the sets. Sketches only propose: the similarity is a cosine of
     2J / (1 + J) and so an expected share of differing bits, and a pair is proposed up to three standard deviations
     beyond it if it agrees in one of ``lanes * parts`` partitions. For a pair at exactly 0.8 with many shingles and
-    independent bits that is expected of 998 in 1,000, of more similar ones more often.
+    independent bits that is expected of 998 in 1,000, of more similar ones more often; a test measures it.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     # Few shingles leave lanes empty, and one shingle then decides a lane.
     radius = [math.ceil(64 * u * share + 3 * math.sqrt(64 * u * share * (1 - share))) + 32 * (0 < u < lanes) for u in range(lanes + 1)]
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col), F.lit("")))
-    at = unused("key", df.columns)
-    keyed = df.withColumn(at, key)
-    found = near_groups(keyed, at, text_col, k=k, radius=radius, lanes=lanes, choices=(parts,), guaranteed=lanes * parts - 1, verify=similarity, **options)
-    found = found.select(F.col("id").alias("_key"), "component").join(keyed.select(F.col(at).alias("_key"), F.col(id_col).alias("i")), "_key")
-    first = materialize(found.groupBy("component").agg(F.min_by("_key", F.struct("i", "_key")).alias("_key"), F.count("*").alias("rows"), F.countDistinct("_key").alias("keys")), "kept")
-    out = keyed.join(first.select(F.col("_key").alias(at)), at, "left_semi")
-    if first.where("rows > keys").limit(1).count():
-        out = out.dropDuplicates([at])
+    marks, nodes = grouped(df, id_col, text_col, k=k, radius=radius, lanes=lanes, choices=(parts,), guaranteed=lanes * parts - 1, verify=similarity, **options)
+    places = marks.select(F.coalesce("id", F.lit(NULL_ID)).alias("id"), "body", "same").join(nodes.select("same", "group"), "same")
+    # Equal rows are counted first, so the next aggregate meets each place once.
+    places = places.groupBy("group", "id", "body").agg(F.count("*").alias("n"))
+    first = materialize(places.groupBy("group").agg(F.min(F.struct("id", "body", "n")).alias("f")).select("f.*"), "kept")
+    at, body = unused("id", df.columns), unused("body", df.columns)
+    keyed = df.withColumns({at: F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), body: body_key(text_col)})
+    out = keyed.join(first.select(F.col("id").alias(at), F.col("body").alias(body)), [at, body], "left_semi")
+    if first.where("n > 1").limit(1).count():
+        out = out.dropDuplicates([at, body])
     return out.select(*df.columns)
 
 
