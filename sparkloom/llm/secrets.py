@@ -1,30 +1,34 @@
 """Secret scans: fixed base patterns, and probabilistic automata inferred from labelled credentials.
 
-One pass over the whole texts takes the base spans and every other candidate token (16 or more characters of
-``A-Za-z0-9+/_.=-`` outside the base spans) and writes them, without the texts, to the shared folder. From the
-values of the base spans (labelled by their kind) and from the other candidates (the background), at most
-``train`` and ``plain`` distinct values, in the order of their hash, a prefix tree with counts is built on the driver and
-its statistically compatible states are merged (Hoeffding bound ``alpha``) into a probabilistic automaton. Then
-every candidate is scored: the log-likelihood under a credential's format less that under the background, for
-each character. A candidate at ``margin`` or more becomes a span of kind ``format``.
+A first pass over the whole texts gathers what is learned from: the values of the base spans, labelled by their kind,
+and the other candidates as background. Candidates are the pieces of 8 or more characters of ``A-Za-z0-9+/_.=-``
+that the base spans leave over; the background has short ones (below 16) and long ones apart. Of each of the five at
+most ``train`` or ``plain`` distinct values are kept, those of the least hash, in each task and then of all. From
+them a prefix tree with counts is built on the driver and its statistically compatible states are merged (Hoeffding
+bound ``alpha``) into a probabilistic automaton.
+
+A second pass scores every candidate: the log-likelihood under the likeliest credential's format less that under the
+likelier background. A candidate at ``margin`` or more becomes a span of kind ``format``. Of a value only the first
+``longest`` characters are learned; values are scored whole.
 
 Defined results: a null text is the empty text and has no spans; rows come out as they go in (repeated rows and
-null ids included); a text without whole-token candidates has the base spans only; a kind with fewer than
-``least`` labelled values adds nothing; columns besides id and text are ignored; an empty table gives no rows.
+null ids included); a text without candidates has the base spans only; a kind with fewer than ``least`` labelled
+values adds nothing; columns besides id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, sliced, unused
+from sparkloom.llm.common import materialize, sliced
 
 #: Fixed patterns and lengths of the base kinds, in the order in which spans with equal starts are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -33,8 +37,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
 MIN_ASSIGN = 8
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+#: Candidates of this length or more have a background of their own.
+LONG = 16
 ALPHABET = 66
+#: Scored candidates that a task remembers.
+CACHE = 200_000
 
 Span = tuple[int, int, int]
 
@@ -56,8 +64,25 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Candidate tokens that overlap none of the base spans."""
-    return [m.span() for m in CANDIDATE.finditer(text) if not any(m.start() < e and s < m.end() for s, _, e in taken)]
+    """Pieces of candidate tokens that the base spans leave over, in one sweep over both."""
+    out: list[tuple[int, int]] = []
+    covered, at = union((s, e) for s, _, e in taken), 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        k = at
+        while k < len(covered) and covered[k][0] < end:
+            if covered[k][0] - start >= 8:
+                out.append((start, covered[k][0]))
+            start = max(start, covered[k][1])
+            # What joins a piece to the span before it is no part of the piece.
+            while start < end and text[start] in "+/_.=-":
+                start += 1
+            k += 1
+        if end - start >= 8:
+            out.append((start, end))
+    return out
 
 
 class Automaton:
@@ -85,12 +110,13 @@ class Automaton:
         self._merge()
         self.log: list[dict[str, float]] = []
         self.rest: list[float] = []
-        self.stop: list[float] = []
         for q in range(len(self.next)):
-            whole = self.total[q] + 0.5 * (ALPHABET + 1)
+            whole = self.total[q] - self.final[q] + 0.5 * ALPHABET
             self.log.append({c: math.log((n + 0.5) / whole) for c, n in self.flow[q].items()})
             self.rest.append(math.log(0.5 / whole))
-            self.stop.append(math.log((self.final[q] + 0.5) / whole))
+        # Rare states merge whatever their depth, so the length has a distribution of its own: as seen, and a hundred-thousandth geometric.
+        self.sizes = Counter(map(len, words))
+        self.seen, self.leave = max(1, len(words)), 1 / (1 + sum(map(len, words)) / max(1, len(words)))
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return n > 0 and m > 0 and abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -142,87 +168,153 @@ class Automaton:
                 self.next[q][c] = into
                 self._fold(into, b)
 
+    def length(self, n: int) -> float:
+        return math.log(0.99999 * self.sizes[n] / self.seen + 0.00001 * self.leave * max((1 - self.leave) ** n, 1e-300))
+
     def score(self, word: str) -> float:
-        """Log-likelihood of the whole word. Beyond the known transitions each character has the smoothed rest."""
-        q, out = 0, 0.0
+        """Log-likelihood of the whole word and of its length. Beyond the known transitions each character is one of the alphabet."""
+        q, out = 0, self.length(len(word))
         for i, c in enumerate(word):
             out += self.log[q].get(c, self.rest[q])
             if c not in self.next[q]:
-                return out - (len(word) - i) * math.log(ALPHABET)
+                return out - (len(word) - i - 1) * math.log(ALPHABET)
             q = self.next[q][c]
-        return out + self.stop[q]
+        return out
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, train: int = 300, least: int = 30, plain: int = 1200, alpha: float = 0.05, margin: float = 1.0) -> DataFrame:
-    """(id, spans array<struct<kind, start, end>>) of every row, by start, then kind. A format is learned from
-    ``least`` to ``train`` labelled values, the background from at most ``plain``."""
-    spark = df.sparkSession
-    part = "array<struct<kind:int,start:int,end:int,value:string>>"
+def rank(value: str) -> int:
+    """A hash of the value; its order is that of signed 64-bit numbers."""
+    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 5) - 2**63
+
+
+class Least:
+    """The ``size`` distinct values of the least hash among those that it is shown."""
+
+    def __init__(self, size: int):
+        self.size, self.kept, self.top = size, {}, 2**63
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+    def add(self, value: str) -> None:
+        h = rank(value)
+        if h < self.top:
+            self.kept[value] = h
+            if len(self.kept) > 2 * self.size:
+                self.cut()
+
+    def cut(self) -> list[tuple[str, int]]:
+        best = sorted(self.kept.items(), key=lambda x: (x[1], x[0]))[: self.size]
+        self.kept = dict(best)
+        if len(best) == self.size and best:
+            self.top = best[-1][1] + 1
+        return best
+
+
+def learn(df: DataFrame, text_col: str = "text", *, train: int = 300, plain: int = 1200, longest: int = 256) -> list[list[str]]:
+    """Values to learn from: of assign, access and hex (at most ``train`` each), then short and long background (``plain`` each)."""
+    limits = [train] * 3 + [plain] * 2
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen = [Least(n) for n in limits], set()
         for b in sliced(batches):
-            base, more = [], []
-            for text in b.column(1).to_pylist():
-                text = text or ""
+            for text in b.column(0).to_pylist():
+                if not text:
+                    continue
                 spans = base_spans(text)
-                base.append([{"kind": k, "start": s, "end": e, "value": ASSIGN.match(text, s)[2] if k == 0 else text[s:e]} for s, k, e in spans])
-                more.append([{"kind": 3, "start": s, "end": e, "value": text[s:e]} for s, e in candidates(text, spans)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, kind), pa.array(more, kind)], ["id", "base", "more"])
-
-    found = materialize(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, f"id long, base {part}, more {part}"), "secrets")
-    values = found.select(F.explode(F.concat("base", "more")).alias("s")).select("s.kind", "s.value").where(F.length("value") <= 256)
-    learned: dict[int, list[str]] = defaultdict(list)
-    for kind in range(4):
-        for (v,) in values.where(F.col("kind") == kind).select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(plain if kind == 3 else train).collect():
-            learned[kind].append(v)
-    formats = [Automaton(v, alpha) for k in range(3) if len(v := learned[k]) >= least]
-    ground = Automaton(learned[3], alpha)
+                for s, k, e in spans:
+                    found[k].add((ASSIGN.match(text, s)[2] if k == 0 else text[s:e])[:longest])
+                for v in {text[s:e] for s, e in candidates(text, spans)} - seen:
+                    if len(seen) < CACHE and len(v) <= longest:
+                        seen.add(v)
+                    found[3 + (len(v) >= LONG)].add(v[:longest])
+        rows = [(k, v, h) for k, x in enumerate(found) for v, h in x.cut()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["kind", "value", "rank"])
+
+    # A task sends at most so many values of a kind, and the least of those are the least of all.
+    values = materialize(df.select(F.col(text_col).cast("string")).mapInArrow(gather, "kind int, value string, rank long"), "secrets")
+    return [[r[0] for r in values.where(F.col("kind") == k).select("value", "rank").distinct().orderBy("rank", "value").limit(n).collect()] for k, n in enumerate(limits)]
+
+
+class Formats:
+    """The credentials' automata and those of the background.
+
+    A background holds unlabelled credentials too. Values that a format explains better by ``margin`` leave it, and it
+    is inferred anew, until none leave. A sample doesn't have every rare kind of plain value, so one background more,
+    at ``rare`` times the likelihood, takes any characters alike at the lengths of the others.
+    """
+
+    def __init__(self, values: list[list[str]], least: int = 30, alpha: float = 0.05, margin: float = 4.0, rare: float = 0.05):
+        self.formats = [Automaton(v, alpha) for v in values[:3] if len(v) >= least]
+        self.margin, self.rare, self.cache, plain = margin, math.log(rare), {}, [v for v in values[3:] if v]
+        self.ground = [Automaton(v, alpha) for v in plain] if self.formats else []
+        for _ in range(5 if self.formats else 0):
+            left = [[x for x in v if self.excess(x) < self.margin] for v in plain]
+            if sum(map(len, left)) == sum(map(len, plain)):
+                break
+            plain = [v for v in left if v]
+            self.ground = [Automaton(v, alpha) for v in plain]
+
+    def excess(self, value: str) -> float:
+        """Log-likelihood under the likeliest format less that under the likeliest background."""
+        n = len(value)
+        plain = self.rare + max((a.length(n) for a in self.ground), default=0.0) - n * math.log(ALPHABET)
+        return max(a.score(value) for a in self.formats) - max(plain, *(a.score(value) for a in self.ground))
+
+    def secret(self, value: str) -> bool:
+        if not self.formats:
+            return False
+        if (known := self.cache.get(value)) is None:
+            known = self.excess(value) >= self.margin
+            if len(self.cache) < CACHE and len(value) <= 256:
+                self.cache[value] = known
+        return known
+
+    def spans(self, text: str) -> list[Span]:
+        """Base and format spans by start, then kind."""
+        base = base_spans(text)
+        if not self.formats:
+            return base
+        return sorted(base + [(s, 3, e) for s, e in candidates(text, base) if self.secret(text[s:e])])
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, train: int = 300, least: int = 30, plain: int = 1200, longest: int = 256, alpha: float = 0.05, margin: float = 4.0) -> DataFrame:
+    """(id, spans array<struct<kind, start, end>>) of every row, by start, then kind. A format is learned from
+    ``least`` to ``train`` labelled values, each background from at most ``plain``."""
+    values = learn(df, text_col, train=train, plain=plain, longest=longest)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        formats = Formats(values, least, alpha, margin)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
-            out = []
-            for base, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                spans = [(x["start"], x["kind"], x["end"]) for x in base]
-                for x in more:
-                    v = x["value"]
-                    if formats and (max(a.score(v) for a in formats) - ground.score(v)) / len(v) >= margin:
-                        spans.append((x["start"], 3, x["end"]))
-                out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])
+        for b in sliced(batches):
+            out = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in formats.spans(text or "")] for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["id", "spans"])
 
-    return found.mapInArrow(rate, "id long, spans array<struct<kind:string,start:int,end:int>>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rate, "id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", broadcast_rows: int = 200_000, **options) -> DataFrame:
-    """``df`` with every span of the text replaced by ``mark``; overlapping spans are replaced as one. Null texts stay null.
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", *, train: int = 300, least: int = 30, plain: int = 1200, longest: int = 256, alpha: float = 0.05, margin: float = 4.0) -> DataFrame:
+    """``df`` with every span of the text replaced by ``mark``; spans that overlap or touch are replaced as one. Null texts stay null.
 
-    Spans are joined back by the text's hash: equal texts have equal spans. Up to ``broadcast_rows`` texts with
-    spans go to every executor, more are joined by a shuffle.
+    Spans are found and replaced where the text is, so nothing is joined back.
     """
-    key, own = unused("key", df.columns), unused("spans", df.columns)
-    keyed = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = materialize(scan(keyed, key, text_col, **options).where(F.size("spans") > 0).groupBy(F.col("id").alias(key)).agg(F.first("spans").alias(own)), "spans")
-    joined = keyed.join(F.broadcast(found) if found.count() <= broadcast_rows else found, key, "left").select(*df.columns, own)
+    values = learn(df, text_col, train=train, plain=plain, longest=longest)
     at, names = df.columns.index(text_col), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        formats = Formats(values, least, alpha, margin)
         for b in sliced(batches):
             texts = []
-            for text, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                if text is not None and spans:
+            for text in b.column(at).to_pylist():
+                if text and (spans := formats.spans(text)):
                     done, out = 0, []
-                    for s, e in union((x["start"], x["end"]) for x in spans):
+                    for s, e in union((s, e) for s, _, e in spans):
                         out += [text[done:s], mark]
                         done = e
                     text = "".join([*out, text[done:]])
                 texts.append(text)
-            cols = b.columns[:-1]
+            cols = b.columns
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def union(spans) -> list[tuple[int, int]]:
