@@ -1,7 +1,8 @@
 """Language identification by word-first backoff.
 
-Per language, log frequencies of words and of 4-, 3-, 2- and 1-character pieces of words (with word ends marked)
-are learned from at most ``per_lang`` labelled texts a language, taken whole, in the order of their id's hash.
+Per language, log frequencies of all words and of all 4-, 3-, 2- and 1-character pieces of words (with word ends
+marked) are learned from about ``per_lang`` labelled texts a language, taken whole: those whose id's hash lies below a
+bound. That is the only bound of the model.
 A text's word that is known in any language scores by its log frequency in each; an unseen word by the mean over
 its known 4-character pieces, or if none is known its 3-character pieces, and so on. Word scores are summed over
 the whole text. The result's score is the softmax of the summed scores, for texts of more than ``evidence``
@@ -42,8 +43,8 @@ def pieces(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = 1000, vocabulary: int = 20_000, grams: int = 8_000) -> Model:
-    """Languages, word scores and piece scores. ``per_lang`` texts, and of their words and pieces the ``vocabulary`` and ``grams`` (a length) most frequent of each language are kept."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = 1000) -> Model:
+    """Languages, word scores and piece scores of about ``per_lang`` texts a language; one pass counts the texts, one more the words of all languages."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     # A bound on the hash takes about per_lang texts of a language in one scan, without sorting the corpus.
@@ -59,20 +60,20 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         for lang, c in tally.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
-    seen = rows.where(F.col("h") <= share[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top: dict[str, Counter] = {}
-    for lang in sorted(n):
-        top[lang] = Counter({r["word"]: r["n"] for r in seen.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(vocabulary).collect()})
-    langs = [x for x in sorted(n) if top[x]]
+    seen = rows.where(F.col("h") <= share[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    known: dict[str, Counter] = defaultdict(Counter)
+    for lang, word, times in zip(*(seen[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+        known[lang][word] = times
+    langs = sorted(known)
     parts: dict[int, dict[str, Counter]] = {k: {x: Counter() for x in langs} for k in ORDERS}
     for x in langs:
-        for w, c in top[x].items():
+        for w, c in known[x].items():
             for k in ORDERS:
                 for p in pieces(w, k):
                     parts[k][x][p] += c
-    pieces_of = [logs([Counter(dict(sorted(parts[k][x].items(), key=lambda y: (-y[1], y[0]))[:grams])) for x in langs]) for k in ORDERS]
+    pieces_of = [logs([parts[k][x] for x in langs]) for k in ORDERS]
     index = {g: i for i, g in enumerate(g for keys, _ in pieces_of for g in keys)}
-    return langs, *logs([top[x] for x in langs]), index, np.concatenate([t for _, t in pieces_of])
+    return langs, *logs([known[x] for x in langs]), index, np.concatenate([t for _, t in pieces_of])
 
 
 def logs(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
@@ -134,7 +135,7 @@ class Scorer:
 def predict(df: DataFrame, model: Model, text_col: str = "text", evidence: int = 20, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``df`` with the predicted language and its score in the columns ``out``; columns that have those names give way.
 
-    The model's size is bounded by its languages and kept entries, so it is broadcast.
+    The model's size is that of the vocabulary of the bounded number of texts it learned from, so it is broadcast.
     """
     df = df.drop(*(c for c in df.columns if c.lower() in {x.lower() for x in out} and c != text_col))
     shared, at, names = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col), [*df.columns, *out]
