@@ -1,9 +1,12 @@
 """WARC archives: a writer of request, response or revisit, and metadata records, and transaction assembly.
 
-Archives are gzip files of WARC/1.1 records. They are written by Spark's text writer, whose line end is the
-records' end, so they go to any file system that Spark writes to and survive lost executors. ``per_file`` bounds
-the records of a file. Reading parses by Content-Length; records meet through WARC-Concurrent-To, one nested row
-for each capture, and revisits find their response through WARC-Refers-To.
+Archives are ``.warc.gz`` files of WARC/1.1 records, a gzip member for each record, and begin with a warcinfo record.
+They are written by Spark's text writer, so they go to any file system that Spark writes to and survive lost
+executors: a member ends in the high byte of its length, which is zero for records below 16 MB (a larger record is
+followed by an empty member), and that byte is the writer's line separator. A row of the writer is a stretch of
+members of about ``row_bytes``, and a file has at most ``file_rows`` of them, so a file's size is bounded by both and
+by its largest records. Reading parses by Content-Length; records meet through WARC-Concurrent-To, one nested row for
+each capture, and revisits find their response through WARC-Refers-To.
 
 Record ids derive from page_id, url, payload and an ordinal of the row, settled once in a written table. Defined
 results: a null payload is empty; a null page_id is the smallest; every row is a capture, repeated ones too; a null or empty url is about:blank; line ends in
@@ -13,6 +16,7 @@ a url are percent-encoded; columns besides the three are ignored; an empty table
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
@@ -41,7 +45,7 @@ def record_id(kind: str, page: int | None, digest: str, url: str | None, row: in
 
 def record(kind: str, rid: str, date: str, uri: str, content: str, block: bytes, **more: str) -> bytes:
     """One record without its closing line ends."""
-    head = {"WARC-Type": kind, "WARC-Record-ID": rid, "WARC-Date": date, "WARC-Target-URI": uri, **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Type": content, "Content-Length": str(len(block))}
+    head = {"WARC-Type": kind, "WARC-Record-ID": rid, "WARC-Date": date, **({"WARC-Target-URI": uri} if uri else {}), **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Type": content, "Content-Length": str(len(block))}
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block
 
 
@@ -66,27 +70,55 @@ def transaction(page: int | None, url: str | None, payload: bytes, row: int, fir
     return [ask, main, note]
 
 
-def write(pages: DataFrame, path: str, page_col: str = "page_id", url_col: str = "url", body_col: str = "html", *, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int = 30_000, broadcast_rows: int = 500_000) -> None:
+def member(record: bytes) -> bytes:
+    """A gzip member of the record and its closing line ends, whose last byte is zero."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = z.compress(record) + z.compress(END) + z.flush()
+    return out if out[-1] == 0 else out + gzip.compress(b"", mtime=0)
+
+
+def write(pages: DataFrame, path: str, page_col: str = "page_id", url_col: str = "url", body_col: str = "html", *, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", row_bytes: int = 1 << 20, file_rows: int = 64, broadcast_rows: int = 500_000) -> None:
     """Write every page's transaction. Of pages with equal payloads of ``least_bytes`` or more, all but that of the smallest id are revisits.
 
     Payloads that occur more than once are found by hash and length; up to ``broadcast_rows`` of those go to every
     executor, more are joined by a shuffle.
     """
+    spark = pages.sparkSession
     rows = pages.select(F.coalesce(F.col(page_col).cast("long"), F.lit(NULL_ID)).alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("key", F.unhex(F.sha2(F.col("body").cast("binary"), 256))).withColumn("size", F.octet_length("body"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
     same = materialize(rows.where(F.col("size") >= least_bytes).groupBy("key", "size").agg(F.min(F.struct("page", "url", "row")).alias("first"), F.max("page").alias("last")).where("first.page <> last").drop("last"), "payloads")
     rows = rows.join(F.broadcast(same) if same.count() <= broadcast_rows else same, ["key", "size"], "left").select("page", "url", "body", "row", F.when(F.col("first.page") != F.col("page"), F.col("first")).alias("first"))
+    real = lambda x: None if x == NULL_ID else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 256):
-            out = []
-            for page, url, body, row, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                real = lambda x: None if x == NULL_ID else x
-                out += transaction(real(page), url, body, row, first and (real(first["page"]), first["url"], first["row"]), date)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+        info = member(record("warcinfo", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'warcinfo ' + date)}>", date, "", "application/warc-fields", b"format: WARC File Format 1.1\r\n"))
+        held, size = [info], 0
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        def flush() -> pa.RecordBatch:
+            # The writer puts back the last byte.
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+        for b in sliced(batches, 64):
+            for page, url, body, row, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                for r in transaction(real(page), url, body, row, first and (real(first["page"]), first["url"], first["row"]), date):
+                    held.append(member(r))
+                    size += len(held[-1])
+                if size >= row_bytes:
+                    yield flush()
+                    held, size = [info], 0
+        if size:
+            yield flush()
+
+    lines = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", file_rows).text(path)
+    # The text writer names its files .txt; each is moved to its own name once the job has ended.
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(status.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name[: -len(".txt")] + ".warc.gz"))
 
 
 def unzip(content: bytes) -> Iterator[bytes]:
@@ -94,14 +126,15 @@ def unzip(content: bytes) -> Iterator[bytes]:
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    at = memoryview(content)
-    while len(at):
-        z = zlib.decompressobj(31)
-        while not z.eof and len(at):
-            yield z.decompress(at[: 1 << 20])
-            at = at[1 << 20 :]
-        if z.unused_data:
-            at = memoryview(z.unused_data + bytes(at))
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, take = zlib.decompressobj(31), 1 << 12
+        while not z.eof and at < len(view):
+            yield z.decompress(view[at : at + take])
+            # What a small member leaves unused is copied, so members are fed little by little.
+            at += min(take, len(view) - at)
+            take = min(2 * take, 1 << 20)
+        at -= len(z.unused_data)
 
 
 class Stream(io.RawIOBase):
@@ -153,6 +186,8 @@ def records(spark, path: str, payload: bool = False) -> DataFrame:
             for i in range(b.num_rows):
                 out: list[tuple] = []
                 for head, block in parse(b.column(0)[i].as_py()):
+                    if head.get("warc-type") == "warcinfo":
+                        continue
                     kind, page, body = head.get("warc-type", ""), None, b""
                     digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     if kind == "response":
@@ -167,8 +202,8 @@ def records(spark, path: str, payload: bool = False) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], FIELDS)
 
-    # Text files without rows have no archive; an empty table may leave no file at all.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
+    # A task without rows leaves an empty file; an empty table may leave none at all.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
     return files.where("length > 0").select("content").mapInArrow(run, RECORDS)
 
 
