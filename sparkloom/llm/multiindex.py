@@ -7,10 +7,12 @@ distance above its own cell's passes ``reach``. The reach is calibrated on the s
 turned by exactly the threshold's angle in random directions, and the reach is what the share ``recall`` of the
 turned copies needs; closer copies need less. Pairs are verified by cosine in double precision.
 
-A pair counts if either vector visits the other's cell. Pairs are compared where the visitor meets the cell's
-members; a unit of work is a label, a cell and a block of its members and of its visitors, so a cell with very
-many vectors is many units. Whether the way back also visits is decided there for the links found, so each link
-is counted once for each of its vectors, and a unit emits counts and a spanning forest, never its pairs.
+Equal vectors of a label are one node with a weight, so copies are neither indexed nor compared. A pair counts if
+either vector visits the other's cell. Pairs are compared where the visitor meets the cell's members; a unit of work
+is a label, a cell and a block of its members and of its visitors, so a cell with very many vectors is many units.
+Whether the way back also visits is decided there for the links found, so each link is counted once for each of its
+vectors, by the other's weight, and a unit emits counts and a spanning forest, never its pairs. Vectors travel as
+they came, single components as four bytes, and are scaled in double precision where they arrive.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components links with nothing, nor
 does one with a null label or of another length than its partner; vectors of an odd length have halves that differ
@@ -98,8 +100,8 @@ class MultiIndex:
         return d1[at, cell // width] + d2[at, cell % width] <= self.reach
 
 
-def unit_vectors(df: DataFrame, vec_col: str) -> DataFrame:
-    """``df`` (id, label, vec_col) with node, a number of its own for each row, and vec, the double components as bytes; null where a vector links with nothing."""
+def packed_vectors(df: DataFrame, vec_col: str, kind: str) -> DataFrame:
+    """``df`` (id, label, vec_col) with vec, the components of type ``kind`` as bytes; null where a vector links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,50 +109,53 @@ def unit_vectors(df: DataFrame, vec_col: str) -> DataFrame:
             for x in b.column(2).to_pylist():
                 v = None
                 if x and None not in x:
-                    v = np.array(x, np.float64)
-                    # Scaled by its largest component first, so that squares neither overflow nor vanish.
-                    top = np.abs(v).max()
-                    v = v / top if np.isfinite(v).all() and top > 0 else None
-                out.append(None if v is None else (v / np.linalg.norm(v)).tobytes())
+                    # Zeros of either sign are one zero.
+                    v = np.array(x, kind) + np.zeros(1, kind)
+                    v = v if np.isfinite(v).all() and v.any() else None
+                out.append(None if v is None else v.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "label", "vec"])
 
-    return df.select("id", "label", F.col(vec_col).cast("array<double>")).mapInArrow(run, "id long, label int, vec binary")
+    return df.select("id", "label", vec_col).mapInArrow(run, "id long, label int, vec binary")
 
 
-def stacked(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()])
+def unit_vectors(blobs: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of length 1 in double precision. Each is scaled by its largest component first, so that squares neither overflow nor vanish."""
+    x = np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", *, threshold: float = 0.93, recall: float = 0.995, sample: int = 8192, block: int = 2048, seed: int = 7) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", *, threshold: float = 0.93, recall: float = 0.995, sample: int = 8192, block: int = 2048, seed: int = 7, broadcast_rows: int = 200_000) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    spark = df.sparkSession
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vec_col))
-    marked = unit_vectors(rows, vec_col)
-    # One node for each row: the id itself where ids do not repeat, which is checked, else a number given once and written.
-    flat = materialize(marked.withColumn("at", F.monotonically_increasing_id()), "vectors")
-    node = F.col("id") if not flat.groupBy("id").count().where("count > 1").limit(1).count() else F.col("at")
-    flat = flat.withColumn("node", node)
-    live = flat.where("vec is not null and label is not null").withColumn("dim", F.octet_length("vec"))
+    kind = "<f4" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+    vec = F.col(vec_col) if kind == "<f4" else F.col(vec_col).cast("array<double>")
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(label_col).cast("int").alias("label"), vec.alias("_v"))
+    flat = materialize(packed_vectors(rows, "_v", kind).withColumn("key", F.unhex(F.md5("vec"))), "vectors")
+    live = flat.where("vec is not null and label is not null").groupBy("label", "key").agg(F.first("vec").alias("vec"), F.count("*").alias("m"), F.min("id").alias("least"))
+    live = materialize(live.withColumn("dim", F.octet_length("vec")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     edges = counts = None
     for r in live.groupBy("dim").agg(F.count("*").alias("count"), F.approx_count_distinct("label").alias("labels")).collect():
-        part = live.where(F.col("dim") == r["dim"]).select("node", "label", "vec")
-        pick = np.stack([np.frombuffer(x[0], np.float64) for x in part.orderBy(F.xxhash64("node", F.lit(seed)), "node").select("vec").limit(sample).collect()])
-        found = materialize(_links(part, pick, r["count"] // max(1, r["labels"]), threshold, recall, block, seed), "links")
+        part = live.where(F.col("dim") == r["dim"]).select("node", "label", "vec", "m")
+        pick = unit_vectors([bytes(x[0]) for x in part.orderBy(F.xxhash64("vec", F.lit(seed)), "node").select("vec").limit(sample).collect()], kind)
+        found = materialize(_links(part, pick, r["count"] // max(1, r["labels"]), threshold, recall, block, seed, kind), "links")
         edges = found.where("b is not null").select("a", "b") if edges is None else edges.unionAll(found.where("b is not null").select("a", "b"))
         c = found.where("b is null").select("a", "n")
         counts = c if counts is None else counts.unionAll(c)
+    shown = lambda c: F.when(c != NULL_ID, c)
     if edges is None:
-        return flat.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("id"), F.lit(0).cast("long").alias("n_links"), F.when(F.col("id") != NULL_ID, F.col("id")).alias("component_id"), F.lit(True).alias("kept"))
-    counts = counts.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+        return flat.select(shown(F.col("id")).alias("id"), F.lit(0).cast("long").alias("n_links"), shown(F.col("id")).alias("component_id"), F.lit(True).alias("kept"))
+    counts = counts.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comp = connected_components(edges, "a", "b")
-    out = flat.select("id", "node").join(counts, "node", "left").join(comp, "node", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "node").alias("group"))
-    least = out.groupBy("group").agg(F.min("id").alias("component_id"))
-    out = out.join(least, "group")
-    shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return out.select(shown("id"), "n_links", shown("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    nodes = live.select("label", "key", "node", "least", "m").join(counts, "node", "left").join(comp, "node", "left")
+    nodes = nodes.select("label", "key", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("group"))
+    nodes = nodes.join(nodes.groupBy("group").agg(F.min("least").alias("component")), "group").select("label", "key", "n_links", "component")
+    nodes = materialize(nodes, "members")
+    out = flat.select("id", "label", "key").join(F.broadcast(nodes) if nodes.count() <= broadcast_rows else nodes, ["label", "key"], "left")
+    of = F.coalesce("component", "id")
+    return out.select(shown(F.col("id")).alias("id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), shown(of).alias("component_id"), (F.col("id") == of).alias("kept"))
 
 
-def _links(part: DataFrame, pick: np.ndarray, n: int, threshold: float, recall: float, block: int, seed: int) -> DataFrame:
+def _links(part: DataFrame, pick: np.ndarray, n: int, threshold: float, recall: float, block: int, seed: int, kind: str) -> DataFrame:
     """(a, b, n): forest edges (n null) and link counts of a node (b null). ``n`` is the mean number of vectors of a label: a cell of one label holds about 64."""
     spark = part.sparkSession
     size = int(np.clip(round((n / 64) ** 0.5), 2, 1024))
@@ -159,45 +164,45 @@ def _links(part: DataFrame, pick: np.ndarray, n: int, threshold: float, recall:
     shared = spark.sparkContext.broadcast(MultiIndex(pick, threshold, recall, size, seed))
     pad = pick.shape[1]
 
-    def vectors(column) -> np.ndarray:
-        x = stacked(column)
+    def vectors(blobs: list[bytes]) -> np.ndarray:
+        x = unit_vectors(blobs, kind)
         return np.pad(x, ((0, 0), (0, pad - x.shape[1]))) if x.shape[1] < pad else x
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             if b.num_rows:
-                i, j = m.cells(vectors(b.column(2)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((i * len(m.books[1]) + j).astype(np.int32))], ["node", "label", "vec", "own"])
+                i, j = m.cells(vectors(b.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((i * len(m.books[1]) + j).astype(np.int32))], ["node", "label", "vec", "m", "own"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 s = b.slice(lo, 512)
-                d1, d2 = m.spread(vectors(s.column(2)))
+                d1, d2 = m.spread(vectors(s.column(2).to_pylist()))
                 cells = [list(m.visited(p, q)) for p, q in zip(d1, d2, strict=True)]
                 at = pa.array(np.repeat(np.arange(len(cells)), [len(c) for c in cells]))
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in s.columns), pa.array([c for x in cells for c in x], pa.int32())], ["node", "label", "vec", "own", "cell"])
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in s.columns), pa.array([c for x in cells for c in x], pa.int32())], ["node", "label", "vec", "m", "own", "cell"])
 
-    members = materialize(part.mapInArrow(own, "node long, label int, vec binary, own int"), "cells")
-    visits = members.mapInArrow(visit, "node long, label int, vec binary, own int, cell int")
+    members = materialize(part.mapInArrow(own, "node long, label int, vec binary, m long, own int"), "cells")
+    visits = members.mapInArrow(visit, "node long, label int, vec binary, m long, own int, cell int")
     # Cells above the block size are listed: at most n / block of them.
-    full = materialize(members.groupBy("label", F.col("own").alias("cell")).count().where(F.col("count") > block).select("label", "cell", F.ceil(F.col("count") / block).cast("int").alias("m")), "full")
+    full = materialize(members.groupBy("label", F.col("own").alias("cell")).count().where(F.col("count") > block).select("label", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "full")
     full = F.broadcast(full) if full.count() <= 100_000 else full
-    one = F.coalesce("m", F.lit(1))
+    one = F.coalesce("blocks", F.lit(1))
     part_of = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), one).cast("int")
-    # A full cell's members go to m blocks, its visitors to m others; each member block meets each visitor block.
-    to_m = members.withColumn("cell", F.col("own")).join(full, ["label", "cell"], "left").select("label", "cell", part_of(1).alias("mblock"), F.explode(F.sequence(F.lit(0), one - 1)).alias("vblock"), F.lit(False).alias("visits"), "node", "own", "vec")
-    to_v = visits.join(full, ["label", "cell"], "left").select("label", "cell", F.explode(F.sequence(F.lit(0), one - 1)).alias("mblock"), part_of(2).alias("vblock"), F.lit(True).alias("visits"), "node", "own", "vec")
+    # A full cell's members go to some blocks, its visitors to as many others; each member block meets each visitor block.
+    to_m = members.withColumn("cell", F.col("own")).join(full, ["label", "cell"], "left").select("label", "cell", part_of(1).alias("mblock"), F.explode(F.sequence(F.lit(0), one - 1)).alias("vblock"), F.lit(False).alias("visits"), "node", "own", "m", "vec")
+    to_v = visits.join(full, ["label", "cell"], "left").select("label", "cell", F.explode(F.sequence(F.lit(0), one - 1)).alias("mblock"), part_of(2).alias("vblock"), F.lit(True).alias("visits"), "node", "own", "m", "vec")
     units = to_m.unionAll(to_v).repartition(partitions(spark), "label", "cell", "mblock", "vblock").sortWithinPartitions("label", "cell", "mblock", "vblock", "visits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
 
-        def unit(node: np.ndarray, home: np.ndarray, x: np.ndarray, visits: np.ndarray) -> tuple[list, ...]:
+        def unit(node: np.ndarray, home: np.ndarray, weight: np.ndarray, x: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, ...]:
             mem, vis = np.flatnonzero(~visits), np.flatnonzero(visits)
-            a, b, who, times = [], [], [], []
+            a, b, times = [], [], np.zeros(len(node), np.int64)
             for lo in range(0, len(vis), 1024):
                 v = vis[lo : lo + 1024]
                 p, q = np.nonzero(x[v] @ x[mem].T >= threshold)
@@ -207,22 +212,24 @@ def _links(part: DataFrame, pick: np.ndarray, n: int, threshold: float, recall:
                 if not len(p):
                     continue
                 # The visitor counts its link here; the member counts it here if it does not itself visit the visitor's cell.
-                both = m.reaches(x[q], home[p])
-                who += [node[p], node[q[~both]]]
-                a.append(node[p])
-                b.append(node[q])
-                if sum(map(len, a)) > 1 << 20:
-                    u, w = forest(np.concatenate(a), np.concatenate(b))
-                    a, b = [u], [w]
-            if who:
-                ids, times = np.unique(np.concatenate(who), return_counts=True)
-                u, w = forest(np.concatenate(a), np.concatenate(b))
-                return u, w, ids, times
-            return ()
+                only = ~m.reaches(x[q], home[p])
+                np.add.at(times, p, weight[q])
+                np.add.at(times, q[only], weight[p[only]])
+                u, w = forest(node[p], node[q])
+                a.append(u)
+                b.append(w)
+            if not a:
+                return ()
+            u, w = forest(np.concatenate(a), np.concatenate(b))
+            at = np.flatnonzero(times)
+            ids, inverse = np.unique(node[at], return_inverse=True)
+            total = np.zeros(len(ids), np.int64)
+            np.add.at(total, inverse, times[at])
+            return u, w, ids, total
 
         held: list | None = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)] + [np.array(batch.column(7).to_pylist(), object)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)] + [np.array(batch.column(8).to_pylist(), object)]
             cols = [np.concatenate([p, q]) for p, q in zip(held, cols, strict=True)] if held is not None else cols
             if not len(cols[0]):
                 continue
@@ -239,9 +246,7 @@ def _links(part: DataFrame, pick: np.ndarray, n: int, threshold: float, recall:
             visits = cols[4][lo:hi].astype(bool)
             if visits.all() or not visits.any():
                 continue
-            x = np.frombuffer(b"".join(cols[7][lo:hi]), np.float64).reshape(hi - lo, -1)
-            x = np.pad(x, ((0, 0), (0, pad - x.shape[1]))) if x.shape[1] < pad else x
-            if got := unit(cols[5][lo:hi].astype(np.int64), cols[6][lo:hi].astype(np.int64), x, visits):
+            if got := unit(*(cols[k][lo:hi].astype(np.int64) for k in (5, 6, 7)), vectors(cols[8][lo:hi].tolist()), visits):
                 u, w, ids, times = got
                 a += [*u.tolist(), *ids.tolist()]
                 b += [*w.tolist(), *[None] * len(ids)]
