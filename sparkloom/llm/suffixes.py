@@ -6,14 +6,18 @@ each window of ``length`` bytes has an anchor, the leftmost of its grams (``GRAM
 windows have equal anchors, so no repeat is lost, and only about one byte in 35 begins an anchor. Neighbouring
 windows with the same anchor are a unit.
 
-1. Units go to buckets by splitters, sampled from the suffixes' leading bytes. A gram is never cut by a boundary,
-   so a suffix and all that share its leading bytes meet in one bucket, and nothing is left to compare across.
-   Before the shuffle each task keeps only the earliest of its equal units; later ones are removed as they are
-   (pre-aggregation, so a passage in a third of all texts is one unit for each task).
-2. In a bucket, of equal units (128 bits of hash) all but the earliest are removed. A gram with different units is
-   a repeat that begins or ends there: one of each unit asks its text for its bytes.
-3. Those suffixes are sorted by multikey quicksort, with their common prefixes, per bucket. Windows are equal
-   where the common prefix covers what lies right of the anchor and the bytes left of it are equal.
+1. Units go to buckets by splitters, sampled from the suffixes' leading bytes, their gram and their unit. Before the
+   shuffle each task keeps only the earliest of its equal units; later ones are removed as they are
+   (pre-aggregation, so a passage in a third of all texts is one unit for each task), and a bucket does the same by
+   128 bits of hash. This only prunes: a gram with different units is a repeat that begins or ends there, and one of
+   each unit asks its text for its bytes. A gram that very many units share is cut by its units' hashes; each bucket
+   beside such a cut takes the gram to have others.
+2. Those suffixes are range-partitioned by splitters sampled from whole suffixes, so a hot leading run is cut at deeper
+   bytes. A bucket sorts its suffixes by multikey quicksort and takes the common prefixes of neighbours. Windows are
+   equal where the common prefix covers what lies right of the anchor and the bytes left of it are equal.
+3. A suffix is compared with its bucket's two boundaries. Where it shares with a boundary all that a window has right
+   of the anchor, the run of equal suffixes may go on in the next bucket: the earliest of each such window is sent
+   off, and the earliest of all buckets stays.
 4. Texts meet their removed windows and lose them.
 
 Texts move zstd-compressed, everything else packed, so that rows are few. Memory is bounded by bucket and part
@@ -40,12 +44,13 @@ from sparkloom.llm.common import NULL_ID, materialize, partitions, sliced, utf8
 GRAM = 32
 #: Bytes that are hashed at once, and of a piece of a longer text.
 CHUNK, PIECE = 1 << 20, 1 << 19
-#: Units that a task gathers before it sends them off, and of a bucket.
+#: Units that a task gathers before it sends them off, and the mean of a bucket.
 HELD, BUCKET = 400_000, 300_000
 #: Bytes of text of a part, in which texts meet their requests and removals.
 PART = 48 << 20
 
 UNIT = np.dtype([("h", "<u8"), ("u", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("p", "<u4"), ("n", "u1"), ("off", "u1")])
+OPEN = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("crc", "<u4"), ("p", "<u4")])
 REMOVED = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("p", "<u4"), ("n", "<u4")])
 ROWS = "slot int, kind int, doc long, blob binary"
 
@@ -81,10 +86,10 @@ def grams(x: np.ndarray) -> np.ndarray:
 
 
 def units(pieces: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Units of the pieces (id, checksum, offset, bytes) and the sort keys of their suffixes (leading bytes, then the gram's hash)."""
+    """Units of the pieces (id, checksum, offset, bytes) and the sort keys of their suffixes (leading bytes, the gram's hash, the unit's hash)."""
     x = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
     if len(x) < length:
-        return np.zeros(0, UNIT), np.zeros(0, "S16")
+        return np.zeros(0, UNIT), np.zeros(0, "S24")
     size = np.array([len(p[3]) for p in pieces])
     end = np.cumsum(size)
     g = grams(x)
@@ -103,7 +108,7 @@ def units(pieces: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.nd
     first[1:] &= (anchor[1:] != anchor[:-1]) | ~whole[:-1]
     p = np.flatnonzero(first)
     if not len(p):
-        return np.zeros(0, UNIT), np.zeros(0, "S16")
+        return np.zeros(0, UNIT), np.zeros(0, "S24")
     stop = np.flatnonzero(np.diff(np.concatenate([whole, [False]]).astype(np.int8)) < 0) + 1
     nxt = np.minimum(np.append(p[1:], len(anchor)), stop[np.searchsorted(stop, p, "right")])
     out = np.zeros(len(p), UNIT)
@@ -119,10 +124,10 @@ def units(pieces: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.nd
     out["doc"] = np.array([q[0] for q in pieces], np.int64)[of]
     out["crc"] = np.array([q[1] for q in pieces], np.uint32)[of]
     out["p"] = p - (end - size)[of] + np.array([q[2] for q in pieces], np.int64)[of]
-    key = np.empty((len(p), 2), ">u8")
+    key = np.empty((len(p), 3), ">u8")
     key[:, 0] = np.ascontiguousarray(x[a[:, None] + np.arange(8)]).view(">u8").ravel()
-    key[:, 1] = out["h"]
-    return out, key.view("S16").ravel()
+    key[:, 1], key[:, 2] = out["h"], out["u"]
+    return out, key.view("S24").ravel()
 
 
 def chunks(docs: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -209,50 +214,89 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def boundary(found: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
-    """Removed windows of suffixes of the same bucket; ``text`` holds each unit's bytes, padded."""
+def aligned(found: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+    """Each unit's bytes with the anchor in column length - GRAM; zeros outside the unit. ``text`` holds the bytes, padded."""
     left = length - GRAM
-    aligned = np.zeros((len(found), left + length), np.uint8)
-    off = found["off"].astype(np.int64)
+    out = np.zeros((len(found), left + length), np.uint8)
     cols = np.arange(text.shape[1])
-    to = left - off[:, None] + cols
+    to = left - found["off"].astype(np.int64)[:, None] + cols
     inside = (cols < (found["n"].astype(np.int64) - 1 + length)[:, None]) & (to < left + length)
-    aligned[np.nonzero(inside)[0], to[inside]] = text[inside]
+    out[np.nonzero(inside)[0], to[inside]] = text[inside]
+    return out
+
+
+def common(rows: np.ndarray, one: bytes | None) -> np.ndarray:
+    """How many leading bytes each row has in common with ``one``."""
+    if one is None:
+        return np.zeros(len(rows), np.int64)
+    differ = rows != np.frombuffer(one.ljust(rows.shape[1], b"\0"), np.uint8)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+
+
+def compared(found: np.ndarray, text: np.ndarray, length: int, low: bytes | None = None, high: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Removed windows among the suffixes of a bucket, and the earliest of those windows that may go on beyond its boundaries."""
+    left = length - GRAM
+    whole, off = aligned(found, text, length), found["off"].astype(np.int64)
     right = np.zeros((len(found), -(-length // 8) * 8), np.uint8)
-    right[:, :length] = aligned[:, left:]
+    right[:, :length] = whole[:, left:]
     order = multikey_quicksort(right.view(">u8").astype(np.uint64))
-    found, aligned, off = found[order], aligned[order], off[order]
-    differ = aligned[1:, left:] != aligned[:-1, left:]
+    found, whole, off = found[order], whole[order], off[order]
+    differ = whole[1:, left:] != whole[:-1, left:]
     lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    edge = np.maximum(common(whole[:, left:], low), common(whole[:, left:], high))
     at = found["p"].astype(np.int64) + off
     rank = np.empty(len(found), np.int64)
     rank[np.lexsort((at, found["crc"], found["doc"]))] = np.arange(len(found))
     n = found["n"].astype(np.int64)
     before = np.zeros(len(found), np.uint64)
-    out = []
+    out, ends = [np.zeros(0, REMOVED)], [np.zeros(0, OPEN)]
     for l in range(left + 1):  # noqa: E741
         if l:
-            before = before * BASE + TABLE[aligned[:, left - l]]
+            before = before * BASE + TABLE[whole[:, left - l]]
         rows = np.flatnonzero((off >= l) & (off - n < l))
-        if len(rows) < 2:
+        if not len(rows):
             continue
         run = np.concatenate([[0], np.cumsum(lcp < length - l)])[rows]
-        rows = rows[np.lexsort((rank[rows], before[rows], run))]
-        run = np.concatenate([[0], np.cumsum(lcp < length - l)])[rows]
+        order = np.lexsort((rank[rows], before[rows], run))
+        rows, run = rows[order], run[order]
         new = np.ones(len(rows), bool)
         new[1:] = (run[1:] != run[:-1]) | (before[rows][1:] != before[rows][:-1])
         head = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        late = ~new & (aligned[rows, left - l : left] == aligned[head, left - l : left]).all(axis=1)
+        late = ~new & (whole[rows, left - l : left] == whole[head, left - l : left]).all(axis=1)
         late &= (found["doc"][rows] != found["doc"][head]) | (found["crc"][rows] != found["crc"][head]) | (at[rows] != at[head])
         gone = windows(found[rows[late]])
         gone["p"] = at[rows[late]] - l
         gone["n"] = 1
         out.append(gone)
-    return np.concatenate(out) if out else np.zeros(0, REMOVED)
+        goes_on = rows[new & (edge[rows] >= length - l)]
+        if len(goes_on):
+            some = np.zeros(len(goes_on), OPEN)
+            for f in ("doc", "crc"):
+                some[f] = found[f][goes_on]
+            some["p"] = at[goes_on] - l
+            for k in range(left - l, left - l + length):
+                some["a"] = some["a"] * BASE + TABLE[whole[goes_on, k]]
+                some["b"] = some["b"] * BASE2 + TABLE[whole[goes_on, k]]
+            ends.append(some)
+    return np.concatenate(out), np.concatenate(ends)
+
+
+def later(found: np.ndarray) -> np.ndarray:
+    """Removed windows of all but the earliest of equal ones (OPEN)."""
+    found = found[np.lexsort((found["p"], found["crc"], found["doc"], found["b"], found["a"]))]
+    new = np.ones(len(found), bool)
+    new[1:] = (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])
+    head = found[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(found) else found
+    gone = found[(found["doc"] != head["doc"]) | (found["crc"] != head["crc"]) | (found["p"] != head["p"])]
+    out = np.zeros(len(gone), REMOVED)
+    for f in ("doc", "crc", "p"):
+        out[f] = gone[f]
+    out["n"] = 1
+    return out
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, sample: int = 1000) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary) of every row. ``sample`` bounds the texts on which splitters are chosen."""
+    """(id, n_bytes, n_removed, n_spans, kept binary) of every row. ``sample`` bounds the texts on which splitters are chosen; they decide the cost, never the result."""
     if not GRAM < length <= GRAM + 255:
         raise ValueError(f"length must lie above {GRAM} and not above {GRAM + 255}")
     spark = df.sparkSession
@@ -267,15 +311,34 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(read(batches), length):
-            keys = units(c, length)[1]
-            yield pa.RecordBatch.from_arrays([pa.array([k.ljust(16, b"\0") for k in keys[:: max(1, len(keys) // 2000)].tolist()], pa.binary())], ["key"])
+            found, keys = units(c, length)
+            pick = slice(None, None, max(1, len(keys) // 2000))
+            place = {(doc, crc, at): piece for doc, crc, at, piece in c}
+            begins: dict[tuple[int, int], list[int]] = {}
+            for doc, crc, at in place:
+                begins.setdefault((doc, crc), []).append(at)
+            ends = []
+            for u in found[pick]:
+                doc, crc, p = int(u["doc"]), int(u["crc"]), int(u["p"])
+                at = max(x for x in begins[doc, crc] if x <= p)
+                a = p - at + int(u["off"])
+                ends.append(place[doc, crc, at][a : a + min(length, int(u["n"]) - 1 + length - int(u["off"]))])
+            yield pa.RecordBatch.from_arrays([pa.array([k.ljust(24, b"\0") for k in keys[pick].tolist()], pa.binary()), pa.array(ends, pa.binary())], ["key", "suffix"])
 
     share = int(min(1.0, sample / max(1, n)) * (2**64 - 1)) - 2**63
-    some = docs.where((F.xxhash64("doc", F.lit(3)) <= min(share, 2**63 - 1)) & (F.octet_length("text") >= length)).mapInArrow(leads, "key binary").limit(100_000).collect()
-    keys = np.sort(np.array([bytes(r[0]) for r in some], "S16"))
-    buckets = max(ways, total // (35 * BUCKET) + 1)
-    splitters = np.unique(keys[np.linspace(0, len(keys) - 1, min(buckets, len(keys)) + 1).astype(int)[1:-1]]) if len(keys) > 1 else keys[:0]
-    parts = max(ways, total // PART + 1)
+    some = docs.where((F.xxhash64("doc", F.lit(3)) <= min(share, 2**63 - 1)) & (F.octet_length("text") >= length)).mapInArrow(leads, "key binary, suffix binary").limit(100_000).collect()
+    # Eight slots or more for each task, so that their hashes even out.
+    buckets = max(8 * ways, total // (35 * BUCKET) + 1)
+    parts = max(8 * ways, total // PART + 1)
+
+    def cuts(values: list[bytes], kind: str) -> np.ndarray:
+        x = np.sort(np.array(values, kind))
+        return np.unique(x[np.linspace(0, len(x) - 1, min(buckets, len(x)) + 1).astype(int)[1:-1]]) if len(x) > 1 else x[:0]
+
+    splitters = cuts([bytes(r[0]) for r in some], "S24")
+    ranges = cuts([bytes(r[1]) for r in some], f"S{length}")
+    # Grams that a boundary cuts.
+    cut_grams = np.array([int.from_bytes(k.ljust(24, b"\0")[8:16], "big") for k in splitters.tolist()], np.uint64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, slots, size = [], [], 0
@@ -313,7 +376,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
             more = np.zeros(len(kept), bool)
             more[1:] = kept["h"][1:] == kept["h"][:-1]
             more[:-1] |= more[1:]
-            ask = kept[more]
+            ask = kept[more | np.isin(kept["h"], cut_grams)]
             return batch([*removals(gone), *packed(part_of(ask["doc"], ask["crc"], parts), ask, 1)])
 
         now, blobs = None, []
@@ -339,8 +402,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
             crc = np.array([zlib.crc32(t) for t in text], np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(part_of(doc, crc, parts), pa.int32()), pa.array([2] * len(text), pa.int32()), b.column(0), pa.array([z.compress(t) for t in text], pa.binary())], ["slot", "kind", "doc", "blob"])
 
-    def met(rows: Iterator[tuple], dtype: np.dtype) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-        """(id, checksum, text, items of that text) of every text; a part's items come before its texts."""
+    def met(rows: Iterator[tuple], dtype: np.dtype) -> Iterator[tuple[int, int, int, bytes, np.ndarray]]:
+        """(part, id, checksum, text, items of that text) of every text; a part's items come before its texts."""
         z, now, blobs, items, ids = zstandard.ZstdDecompressor(), None, [], None, None
         for slot, kind, doc, blob in rows:
             if slot != now:
@@ -357,21 +420,24 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
             text = z.decompress(blob)
             crc = zlib.crc32(text)
             own = items[np.searchsorted(ids, doc, "left") : np.searchsorted(ids, doc, "right")]
-            yield doc, crc, text, own[own["crc"] == crc]
+            yield slot, doc, crc, text, own[own["crc"] == crc]
 
     bytes_of = np.dtype([*UNIT.descr, ("text", "u1", 2 * length - GRAM)])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Requests with their unit's bytes, by bucket of their gram."""
+        """Requests with their unit's bytes, by the range of their suffix."""
         held, size = [], 0
         width = 2 * length - GRAM
 
         def flush() -> pa.RecordBatch:
             out = np.concatenate(held)
-            return batch(list(packed((out["h"] >> np.uint64(40)).astype(np.int64) % buckets, out, 0)))
+            right = np.ascontiguousarray(aligned(out, out["text"], length)[:, length - GRAM :])
+            return batch(list(packed(np.searchsorted(ranges, right.view(f"S{length}").ravel(), "right"), out, 0)))
 
-        done: set[tuple[int, int]] = set()
-        for doc, crc, text, own in met(each_slot(batches), UNIT):
+        now, done = None, set()
+        for slot, doc, crc, text, own in met(each_slot(batches), UNIT):
+            if slot != now:
+                now, done = slot, set()
             if not len(own) or (doc, crc) in done:
                 continue
             done.add((doc, crc))
@@ -389,23 +455,39 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
             yield flush()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bucket(blobs: list[bytes]) -> pa.RecordBatch:
+        """Removed windows (kind 0) by part, and windows that go on beyond a bucket (kind 1) by their hash."""
+
+        def bucket(slot: int, blobs: list[bytes]) -> pa.RecordBatch:
             found = np.frombuffer(b"".join(blobs), bytes_of)
-            return batch(list(removals(boundary(found[list(UNIT.names)], found["text"], length))))
+            low, high = (bytes(ranges[slot - 1]) if slot else None), (bytes(ranges[slot]) if slot < len(ranges) else None)
+            gone, ends = compared(found[list(UNIT.names)], found["text"], length, low, high)
+            return batch([*removals(gone), *packed((ends["a"] >> np.uint64(33)).astype(np.int64) % buckets, ends, 1)])
 
         now, blobs = None, []
         for slot, _, _, blob in each_slot(batches):
             if slot != now and blobs:
-                yield bucket(blobs)
+                yield bucket(now, blobs)
                 blobs = []
             now = slot
             blobs.append(blob)
         if blobs:
-            yield bucket(blobs)
+            yield bucket(now, blobs)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for slot, _, _, blob in each_slot(batches):
+            if slot != now and blobs:
+                yield batch(list(removals(later(np.frombuffer(b"".join(blobs), OPEN)))))
+                blobs = []
+            now = slot
+            blobs.append(blob)
+        if blobs:
+            yield batch(list(removals(later(np.frombuffer(b"".join(blobs), OPEN)))))
 
     texts = docs.mapInArrow(zipped, ROWS)
     asked = by_slot(first.where("kind = 1").unionAll(docs.where(F.octet_length("text") >= length).mapInArrow(zipped, ROWS)))
     second = materialize(by_slot(asked.mapInArrow(fetch, ROWS)).mapInArrow(compare, ROWS), "boundaries")
+    third = by_slot(second.where("kind = 1")).mapInArrow(merge, ROWS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -415,7 +497,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
             cols = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-        for doc, _, text, own in met(each_slot(batches), REMOVED):
+        for _, doc, _, text, own in met(each_slot(batches), REMOVED):
             spans, kept = 0, text
             if len(own):
                 mark = np.zeros(len(text) + 1, np.int32)
@@ -432,7 +514,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, leng
         if out:
             yield flush()
 
-    gone = first.where("kind = 0").unionAll(second)
+    gone = first.where("kind = 0").unionAll(second.where("kind = 0")).unionAll(third)
     return by_slot(gone.unionAll(texts)).mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
