@@ -103,6 +103,8 @@ class Vocabulary:
         split, level = d["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or not split["invert"] or level["add_prefix_space"] or level["use_regex"] or m["dropout"] or m["unk_token"] or m["byte_fallback"] or d["decoder"]:
             raise ValueError("settings that this encoder doesn't cover")
+        if any(x[k] for x in d["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens with settings that this encoder doesn't cover")
         self.suffix = m["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = m["vocab"]
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
