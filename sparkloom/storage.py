@@ -7,12 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.errors import NotSupported
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where that is unset."""
+    """spark.checkpoint.dir. Where that is unset, a local master gets a folder of this machine and a cluster an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not at:
+        if not sc._jsc.sc().isLocal():
+            raise NotSupported("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         at = sc._jsc.sc().getCheckpointDir().get()
     return at.rstrip("/")
