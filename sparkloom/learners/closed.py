@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.errors import FitError
 from sparkloom.functions.expr import last_argmax
+from sparkloom.operators.resample import with_folds
 from sparkloom.operators.transform import moments
+from sparkloom.storage import materialize
 from sparkloom.task import Learner, Model, Task
 
 
@@ -144,13 +146,13 @@ class GaussianNB(Learner):
         return NaiveBayesModel(task.features, nb_scores(task.features, [r.asDict() for r in rows], task.n_classes))
 
 
-def nb_cross_validation(task: Task, folds: DataFrame, k: int) -> DataFrame:
+def nb_cross_validation(task: Task, k: int, seed: int = 42) -> DataFrame:
     """(row columns, fold, predicted): every row under the naive Bayes of the other folds.
 
     Counts, sums and sums of squares are taken once for each fold and class; a training set is all less its fold,
-    so k fits cost one pass, and one more pass predicts.
+    so k fits cost one pass, and one more pass predicts. Folds are dealt once and written.
     """
-    data = task.df.join(folds, task.ids)
+    data = materialize(with_folds(task.df, task.ids, k, seed), "folds")
     p = len(task.features)
     s = data.groupBy("fold", F.col(task.target).alias("y")).agg(F.count("*").alias("n"), *(x for j, c in enumerate(task.features) for x in (F.sum(F.col(c)).alias(f"s{j}"), F.sum(F.col(c) * F.col(c)).alias(f"q{j}")))).collect()
     per_fold = []
@@ -204,7 +206,7 @@ class LogisticRegression(Learner):
         w = F.col(task.weight).cast("double") if task.weight else F.lit(1.0)
         classes = [1] if task.n_classes <= 2 else list(range(task.n_classes))
         beta, pairs = np.zeros((len(classes), p)), [(i, j) for i in range(p) for j in range(i, p)]
-        rows = task.df.select(*(e.alias(f"x{i}") for i, e in enumerate(x)), w.alias("w"), F.col(task.target).alias("y"))
+        rows = materialize(task.df.select(*(e.alias(f"x{i}") for i, e in enumerate(x)), w.alias("w"), F.col(task.target).alias("y")), "logistic")
         live = set(range(len(classes)))
         for _ in range(self.max_iter):
             aggs, order = [], sorted(live)

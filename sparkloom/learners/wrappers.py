@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.errors import FitError
 from sparkloom.functions.expr import last_argmax, prefix_sums
-from sparkloom.operators.resample import bootstrap, holdout, kfold
+from sparkloom.operators.resample import drawn, placed, with_folds, with_holdout
 from sparkloom.storage import materialize
 from sparkloom.task import Learner, Model, Task
 
@@ -74,7 +74,7 @@ class Thresholded(Learner):
     properties = "CP"
 
     def _fit(self, task: Task) -> ThresholdModel:
-        data = materialize(task.df.join(holdout(task.df, task.ids, 1 - self.share, self.seed), task.ids), "holdout")
+        data = materialize(with_holdout(task.df, task.ids, 1 - self.share, self.seed), "holdout")
         part = self.factory().fit(task.on(data.where("role = 'train'"))).predict(data.where("role = 'test'"))
         best = threshold_sweep(part.withColumn("_s", F.col("probabilities")[1]), task.target, "_s").orderBy(F.desc("f1"), "threshold").first()
         return ThresholdModel(self.factory().fit(task), best["threshold"])
@@ -151,7 +151,7 @@ class Stacking(Learner):
     properties = "CRP"
 
     def _fit(self, task: Task) -> StackedModel:
-        data = materialize(task.df.join(kfold(task.df, task.ids, self.folds, self.seed).withColumnRenamed("fold", "_f"), task.ids), "stack")
+        data = materialize(with_folds(task.df, task.ids, self.folds, self.seed, "_f"), "stack")
         width = task.n_classes if task.kind == "classif" else 1
         cols = [[f"_b{i}_{j}" for j in range(width)] for i in range(len(self.bases))]
         parts = None
@@ -196,11 +196,12 @@ class Bagging(Learner):
     properties = "CRP"
 
     def _fit(self, task: Task) -> BaggedModel:
-        draws = materialize(bootstrap(task.df, task.ids, self.n_estimators, self.seed).where("role = 'train'").drop("role"), "draws")
+        rows = materialize(placed(task.df, task.ids, self.seed, "rn"), "rows")
+        draws = materialize(drawn(rows.sparkSession, rows.count(), self.n_estimators, self.seed), "draws")
         models = []
         for b in range(self.n_estimators):
             learner = self.factory()
-            df = task.df.join(draws.where(F.col("fold") == b).drop("fold"), task.ids)
+            df = rows.join(draws.where(F.col("b") == b).drop("b"), "rn").drop("rn")
             if "W" in learner.properties:
                 models.append(learner.fit(replace(task, df=df, weight="mult")))
             else:
@@ -210,7 +211,7 @@ class Bagging(Learner):
 
 def resample(task: Task, factory: Factory, measure: Callable[..., DataFrame], k: int = 5, seed: int = 42) -> DataFrame:
     """(fold, score columns) of k-fold cross-validation: every fold fits on the rest and all tests are measured in one pass."""
-    data = materialize(task.df.join(kfold(task.df, task.ids, k, seed), task.ids), "cv")
+    data = materialize(with_folds(task.df, task.ids, k, seed), "cv")
     parts = None
     for f in range(k):
         one = factory().fit(task.on(data.where(F.col("fold") != f))).predict(data.where(F.col("fold") == f))
@@ -219,10 +220,24 @@ def resample(task: Task, factory: Factory, measure: Callable[..., DataFrame], k:
 
 
 def benchmark(tasks: dict[str, Task], learners: dict[str, Factory], measure: Callable[..., DataFrame], k: int = 5) -> DataFrame:
-    """(task, learner, fold, score columns)."""
-    out = None
+    """(task, learner, fold, score columns). Learners that don't fit a kind of task are left out; a fit that fails on a task has one row of null scores."""
+    out = failed = None
     for t, task in tasks.items():
         for name, factory in learners.items():
-            s = resample(task, factory, measure, k).select(F.lit(t).alias("task"), F.lit(name).alias("learner"), "*")
+            if ("C" if task.kind == "classif" else "R") not in factory().properties:
+                continue
+            try:
+                s = resample(task, factory, measure, k).select(F.lit(t).alias("task"), F.lit(name).alias("learner"), "*")
+            except FitError:
+                failed = [*(failed or []), (t, name)]
+                continue
             out = s if out is None else out.unionByName(s)
+    if failed and out is not None:
+        rows = out.sparkSession.createDataFrame(failed, "task string, learner string")
+        out = out.unionByName(rows, allowMissingColumns=True)
     return out
+
+
+def benchmark_summary(scores: DataFrame, column: str) -> DataFrame:
+    """(task, learner, mean, std) of a score over the folds; the deviation is the population's."""
+    return scores.groupBy("task", "learner").agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))

@@ -32,6 +32,35 @@ def kfold(df: DataFrame, ids: list[str], k: int = 5, seed: int = 42, train: bool
     return with_train(tests, ids, k) if train else tests.select("fold", *ids)
 
 
+def placed(df: DataFrame, ids: list[str], seed: int = 42, out: str = "rn") -> DataFrame:
+    """``df`` with its rank in random order. Rows of equal ids follow by their other columns, so repeated ids are rows of their own."""
+    rest = [f.name for f in df.schema.fields if f.name not in ids and f.dataType.typeName() not in ("map", "variant")]
+    return global_rank(df.withColumn("_k", md5_key(seed, ids)), "_k", [*ids, *rest], out=out).drop("_k")
+
+
+def with_folds(df: DataFrame, ids: list[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """``df`` with its fold, as ``kfold`` deals them, without a join back on the ids."""
+    n = df.count()
+    if k < 2 or n < k:
+        raise TaskError(f"{k} folds of {n} rows")
+    return placed(df, ids, seed, "_rn").withColumn(out, F.least(F.floor(F.col("_rn") / (n // k)), F.lit(k - 1)).cast("int")).drop("_rn")
+
+
+def with_holdout(df: DataFrame, ids: list[str], ratio: float = 0.8, seed: int = 42, out: str = "role") -> DataFrame:
+    """``df`` with train or test, as ``holdout`` deals them."""
+    n = df.count()
+    cut = int(n * ratio)
+    if not 0 < ratio < 1 or cut in (0, n):
+        raise TaskError(f"a share of {ratio} of {n} rows leaves a side empty")
+    return placed(df, ids, seed, "_rn").withColumn(out, F.when(F.col("_rn") < cut, "train").otherwise("test")).drop("_rn")
+
+
+def drawn(spark, n: int, draws: int, seed: int = 42) -> DataFrame:
+    """(b, rn, mult): how often each draw takes each row number; n draws with replacement, by md5 of seed, draw and number."""
+    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 15), 16, 10).cast("long"), F.lit(n))
+    return spark.range(n).withColumnRenamed("id", "i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("b", pick.alias("rn")).groupBy("b", "rn").agg(F.count("*").cast("int").alias("mult"))
+
+
 def holdout(df: DataFrame, ids: list[str], ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """(ids, role): the first share of rows in random order trains."""
     n = df.count()
@@ -63,9 +92,7 @@ def bootstrap(df: DataFrame, ids: list[str], draws: int = 3, seed: int = 42) ->
     """
     n = df.count()
     rows = _ranked(df.select(*ids), ids, seed)
-    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 15), 16, 10).cast("long"), F.lit(n))
-    spark = df.sparkSession
-    taken = spark.range(n).withColumnRenamed("id", "i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("b", pick.alias("rn")).groupBy("b", "rn").agg(F.count("*").cast("int").alias("mult"))
+    taken = drawn(df.sparkSession, n, draws, seed)
     grid = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     out = grid.join(taken, ["b", "rn"], "left")
     return out.select(F.col("b").alias("fold"), *ids, F.when(F.col("mult").isNull(), "test").otherwise("train").alias("role"), F.coalesce("mult", F.lit(1)).alias("mult"))

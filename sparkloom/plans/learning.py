@@ -9,7 +9,6 @@ from sparkloom.functions import measures as M
 from sparkloom.learners import closed as L
 from sparkloom.operators import causal as C
 from sparkloom.operators import neighbours as N
-from sparkloom.operators.resample import kfold
 from sparkloom.plans.measures import rounded
 from sparkloom.plans.preparation import POINTS, points, table
 from sparkloom.task import Task, classification, regression
@@ -28,19 +27,18 @@ def nb_cv(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy in each of five folds of naive Bayes for the return flag; sums are of whole cents and hundredths."""
     t = flag_task(spark, d)
     whole = t.df.withColumns({"l_extendedprice": F.round(F.col("l_extendedprice") * 100), "l_discount": F.round(F.col("l_discount") * 100), "l_tax": F.round(F.col("l_tax") * 100)})
-    folds = kfold(t.df, LINE_KEY, 5, 42)
-    return rounded(M.accuracy(L.nb_cross_validation(t.on(whole), folds, 5), "y", "predicted", ["fold"]), "fold")
+    return rounded(M.accuracy(L.nb_cross_validation(t.on(whole), 5), "y", "predicted", ["fold"]), "fold")
 
 
 def nb_sql() -> str:
     cols = ["a", "b", "c", "d"]
     stats = ", ".join(f"sum({c})::DOUBLE / sum(n) AS m{c}, greatest(sum(q{c})::DOUBLE / sum(n) - (sum({c})::DOUBLE / sum(n)) * (sum({c})::DOUBLE / sum(n)), 1e-9) AS v{c}" for c in cols)
     return f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, l_quantity::BIGINT AS a, round(l_extendedprice * 100)::BIGINT AS b, round(l_discount * 100)::BIGINT AS c, round(l_tax * 100)::BIGINT AS d FROM lineitem),
- f AS (SELECT *, least((row_number() OVER (ORDER BY md5(concat_ws('-', '42', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR)), l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) // ((SELECT count(*) FROM x) // 5), 4)::INT AS fold FROM x),
+ f AS (SELECT *, row_number() OVER () AS rn, least((row_number() OVER (ORDER BY md5(concat_ws('-', '42', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR)), l_orderkey, l_linenumber, l_partkey, l_suppkey, a, b, c, d, y) - 1) // ((SELECT count(*) FROM x) // 5), 4)::INT AS fold FROM x),
  g AS (SELECT fold, y, count(*) AS n, {', '.join(f'sum({c}) AS {c}, sum({c} * {c}) AS q{c}' for c in cols)} FROM f GROUP BY 1, 2),
  s AS (SELECT k.k AS fold, y, sum(n) AS n, {stats} FROM g, range(5) AS k(k) WHERE g.fold <> k.k GROUP BY 1, 2), p AS (SELECT *, ln(n::DOUBLE / sum(n) OVER (PARTITION BY fold)) AS prior FROM s),
- r AS (SELECT f.fold, f.y AS truth, p.y, prior {''.join(f"- 0.5::DOUBLE * ((f.{c} - m{c}) * (f.{c} - m{c}) / v{c} + ln(v{c}) + ln(2 * pi()))" for c in cols)} AS score, f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_suppkey FROM f JOIN p USING (fold)),
- w AS (SELECT fold, truth, arg_max(y, score) AS y FROM r GROUP BY fold, truth, l_orderkey, l_linenumber, l_partkey, l_suppkey) SELECT fold, round(avg((truth = y)::INT::DOUBLE), 6) AS accuracy FROM w GROUP BY 1"""
+ r AS (SELECT f.fold, f.y AS truth, p.y, prior {''.join(f"- 0.5::DOUBLE * ((f.{c} - m{c}) * (f.{c} - m{c}) / v{c} + ln(v{c}) + ln(2 * pi()))" for c in cols)} AS score, f.rn FROM f JOIN p USING (fold)),
+ w AS (SELECT fold, truth, arg_max(y, score) AS y FROM r GROUP BY fold, truth, rn) SELECT fold, round(avg((truth = y)::INT::DOUBLE), 6) AS accuracy FROM w GROUP BY 1"""
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
