@@ -1,67 +1,26 @@
 """Gradient boosting on binned features, with growth by level, by leaf or by oblivious levels.
 
-Rows are binned once to a byte a feature. A tree level needs one thing of the rows: sums of gradients, hessians and
-counts for each node, feature and bin. Two row stores give it: one in memory for tables of up to ``local_cells``
-cells, one over Spark, where each task sums its rows with numpy, tasks are summed by node, and only nodes x
-features x bins sums reach the driver, whatever the number of rows. Both run the same growth code, so the trees
-are the same. Missing values are the bin 255 and take the side with the larger gain.
+Stores and growth are those of ``growth``: trees ask for sums of gradients, hessians and counts. Row samples are given by
+seed, round and place in a block, so they are the same wherever the rows are. An eval set has a store of its own whose
+margins follow the trees; its loss decides when to stop.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from sparkloom.errors import FitError
-from sparkloom.functions.expr import present
+from sparkloom.errors import FitError, NotSupported
+from sparkloom.functions.expr import md5_key, prefix_sums
+from sparkloom.learners.growth import Growth, Tree, View, bin_edges, grow, grow_leaves, grow_oblivious, importances, pack, scored, store_of
 from sparkloom.storage import materialize
 from sparkloom.task import Learner, Model, Task
 
-MISSING = 255
-
-
-@dataclass
-class Tree:
-    """Nodes in arrays: feature (-1 a leaf), bin (values of lower bins go left), side of missing values, children, value."""
-
-    feature: list[int] = field(default_factory=lambda: [-1])
-    bin: list[int] = field(default_factory=lambda: [0])
-    missing_left: list[bool] = field(default_factory=lambda: [False])
-    left: list[int] = field(default_factory=lambda: [-1])
-    right: list[int] = field(default_factory=lambda: [-1])
-    value: list[float] = field(default_factory=lambda: [0.0])
-    gain: list[float] = field(default_factory=lambda: [0.0])
-
-    def add(self) -> int:
-        for a, v in ((self.feature, -1), (self.bin, 0), (self.missing_left, False), (self.left, -1), (self.right, -1), (self.value, 0.0), (self.gain, 0.0)):
-            a.append(v)
-        return len(self.feature) - 1
-
-    def split(self, node: int, f: int, b: int, missing_left: bool, gain: float) -> tuple[int, int]:
-        self.feature[node], self.bin[node], self.missing_left[node], self.gain[node] = f, b, missing_left, gain
-        self.left[node], self.right[node] = self.add(), self.add()
-        return self.left[node], self.right[node]
-
-    def apply(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of every row of bins."""
-        at = np.zeros(len(x), np.int64)
-        feature, cut, ml = np.array(self.feature), np.array(self.bin), np.array(self.missing_left)
-        left, right = np.array(self.left), np.array(self.right)
-        live = np.flatnonzero(feature[at] >= 0)
-        while len(live):
-            n = at[live]
-            v = x[live, feature[n]]
-            go = np.where(v == MISSING, ml[n], v < cut[n])
-            at[live] = np.where(go, left[n], right[n])
-            live = live[feature[at[live]] >= 0]
-        return at
+__all__ = ["BoostedModel", "Booster", "CatBooster", "Objective", "Tree", "catboost", "ebm", "gradient_boosting", "lightgbm", "quantile_gb", "xgboost"]
 
 
 @dataclass(frozen=True)
@@ -73,379 +32,337 @@ class Objective:
     delta: float = 1.0
     tau: float = 0.5
 
-    def start(self, mean: float, quantile: float) -> float:
+    def start(self, mean: float, quantile: float, shares: list[float] | None = None) -> list[float]:
+        if self.name == "softmax":
+            return [math.log(max(s, 1e-15)) for s in shares or [1.0] * self.outputs]
         if self.name == "logistic":
             p = min(max(mean, 1e-6), 1 - 1e-6)
-            return math.log(p / (1 - p))
+            return [math.log(p / (1 - p))]
         if self.name == "poisson":
-            return math.log(max(mean, 1e-9))
-        return quantile if self.name == "quantile" else mean if self.name in ("squared", "huber") else 0.0
+            return [math.log(max(mean, 1e-9))]
+        return [quantile if self.name == "quantile" else mean]
 
-    def gradients(self, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both of the shape (rows, outputs)."""
+    def gradients(self, y: np.ndarray, m: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+        """Of the margin k; margins are (outputs, rows). A hessian of None is 1 for every row."""
         if self.name == "softmax":
-            e = np.exp(m - m.max(1, keepdims=True))
-            p = e / e.sum(1, keepdims=True)
-            return p - (y[:, None] == np.arange(self.outputs)), 2 * p * (1 - p)
-        e = m - y[:, None]
+            e = np.exp(m - m.max(0))
+            p = e[k] / e.sum(0)
+            return p - (y == k), np.maximum(p * (1 - p), 1e-15)
+        e = m[0] - y
         if self.name == "logistic":
-            p = 1 / (1 + np.exp(-m))
-            return p - y[:, None], p * (1 - p)
+            p = 1 / (1 + np.exp(-m[0]))
+            return p - y, p * (1 - p)
         if self.name == "huber":
-            return np.clip(e, -self.delta, self.delta), np.ones_like(m)
+            return np.clip(e, -self.delta, self.delta), None
         if self.name == "poisson":
-            return np.exp(m) - y[:, None], np.exp(m)
+            mu = np.exp(np.minimum(m[0], 30))
+            return mu - y, mu
         if self.name == "quantile":
-            return np.where(e < 0, -self.tau, 1 - self.tau), np.ones_like(m)
-        return e, np.ones_like(m)
-
-
-def sums(x: np.ndarray, node: np.ndarray, nodes: list[int], g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """(nodes, features, 256, 3) sums of g, h and counts of the rows in ``nodes``."""
-    at = np.full(max([*nodes, int(node.max()) if len(node) else 0]) + 1, -1)
-    at[nodes] = np.arange(len(nodes))
-    k = at[node]
-    rows = np.flatnonzero(k >= 0)
-    x, k, g, h = x[rows], k[rows], g[rows], h[rows]
-    out = np.zeros((len(nodes), x.shape[1], 256, 3))
-    for f in range(x.shape[1]):
-        cell = k * 256 + x[:, f]
-        n = len(nodes) * 256
-        out[:, f, :, 0] = np.bincount(cell, g, n).reshape(-1, 256)
-        out[:, f, :, 1] = np.bincount(cell, h, n).reshape(-1, 256)
-        out[:, f, :, 2] = np.bincount(cell, minlength=n).reshape(-1, 256)
-    return out
-
-
-class LocalRows:
-    """Rows in memory."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, objective: Objective, start: float):
-        self.x, self.y, self.w, self.objective = np.asfortranarray(x), y, w, objective
-        self.margin = np.full((len(x), objective.outputs), start)
-        self.n = len(x)
-
-    def begin(self) -> None:
-        self.g, self.h = (a * self.w[:, None] for a in self.objective.gradients(self.y, self.margin))
-        self.pending: list[tuple[int, Tree, float]] = []
-
-    def open(self, k: int, tree: Tree) -> None:
-        self.k, self.tree, self.node = k, tree, np.zeros(self.n, np.int64)
-
-    def histograms(self, nodes: list[int]) -> np.ndarray:
-        return sums(self.x, self.node, nodes, self.g[:, self.k], self.h[:, self.k])
-
-    def moved(self, nodes: list[int]) -> None:
-        """Rows of nodes just split go to their children."""
-        t = self.tree
-        for n in nodes:
-            rows = np.flatnonzero(self.node == n)
-            v = self.x[rows, t.feature[n]]
-            self.node[rows] = np.where(np.where(v == MISSING, t.missing_left[n], v < t.bin[n]), t.left[n], t.right[n])
-
-    def done(self, k: int, tree: Tree) -> None:
-        self.pending.append((k, tree, 1.0))
-        self._add = getattr(self, "_add", [])
-        self._add.append((k, np.array(tree.value)[self.node]))
-
-    def end(self) -> None:
-        for k, v in self._add:
-            self.margin[:, k] += v
-        self._add = []
-
-
-class SparkRows:
-    """Rows in a table of (bins, y, w, margin); trees since the last write are applied on the fly."""
-
-    def __init__(self, df: DataFrame, objective: Objective, start: float, flush: int = 10):
-        self.objective, self.flush = objective, flush
-        k = objective.outputs
-        self.df = materialize(df.select("x", "y", "w", F.array_repeat(F.lit(float(start)), k).alias("m")), "boosting")
-        self.later: list[tuple[int, Tree]] = []
-        self.n = 0
-
-    def begin(self) -> None:
-        if len(self.later) >= self.flush * self.objective.outputs:
-            self.df = materialize(self._scored(), "boosting")
-            self.later = []
-        self.round = list(self.later)
+            return np.where(e < 0, -self.tau, 1 - self.tau), None
+        return e, None
 
-    @staticmethod
-    def _arrays(b: pa.RecordBatch, trees: list[tuple[int, Tree]]) -> tuple[np.ndarray, ...]:
-        x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-        m = np.array(b.column(3).to_pylist(), float).reshape(b.num_rows, -1)
-        for k, t in trees:
-            m[:, k] += np.array(t.value)[t.apply(x)]
-        return x, b.column(1).to_numpy().astype(float), b.column(2).to_numpy().astype(float), m
-
-    def _scored(self) -> DataFrame:
-        trees, arrays = self.later, self._arrays
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                m = arrays(b, trees)[3]
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(m.tolist(), pa.list_(pa.float64()))], ["x", "y", "w", "m"])
-
-        return self.df.mapInArrow(run, self.df.schema)
-
-    def open(self, k: int, tree: Tree) -> None:
-        self.k, self.tree = k, tree
-
-    def moved(self, nodes: list[int]) -> None:
-        pass
-
-    def histograms(self, nodes: list[int]) -> np.ndarray:
-        trees, tree, k, objective, arrays = self.round, self.tree, self.k, self.objective, self._arrays
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, y, w, m = arrays(b, trees)
-                g, h = objective.gradients(y, m)
-                part = sums(x, tree.apply(x), nodes, g[:, k] * w, h[:, k] * w)
-                total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(nodes)), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], ["node", "part"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for b in batches:
-                for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    v = np.frombuffer(x)
-                    total[n] = total[n] + v if n in total else v
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["node", "part"])
-
-        kind = "node int, part binary"
-        got = self.df.mapInArrow(partial, kind).repartition("node").mapInArrow(add, kind).collect()
-        out = {r["node"]: np.frombuffer(r["part"]).reshape(-1, 256, 3) for r in got}
-        empty = np.zeros_like(next(iter(out.values())))
-        return np.stack([out.get(i, empty) for i in range(len(nodes))])
-
-    def done(self, k: int, tree: Tree) -> None:
-        self.later.append((k, tree))
-
-    def end(self) -> None:
-        pass
+    def loss(self, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+        if self.name == "softmax":
+            top = m.max(0)
+            return top + np.log(np.exp(m - top).sum(0)) - np.take_along_axis(m, y.astype(int)[None], 0)[0]
+        e = m[0] - y
+        if self.name == "logistic":
+            return np.logaddexp(0, m[0]) - y * m[0]
+        if self.name == "huber":
+            return np.where(np.abs(e) <= self.delta, e * e / 2, self.delta * (np.abs(e) - self.delta / 2))
+        if self.name == "poisson":
+            return np.exp(np.minimum(m[0], 30)) - y * m[0]
+        if self.name == "quantile":
+            return np.where(e < 0, -self.tau * e, (1 - self.tau) * e)
+        return e * e
+
+    def response(self, m: np.ndarray) -> np.ndarray:
+        return np.exp(np.minimum(m[0], 30)) if self.name == "poisson" else m[0]
+
+    def probabilities(self, m: np.ndarray) -> np.ndarray:
+        """(rows, classes)."""
+        if self.outputs == 1:
+            p = 1 / (1 + np.exp(-m[0]))
+            return np.stack([1 - p, p], 1)
+        e = np.exp(m - m.max(0))
+        return (e / e.sum(0)).T
 
 
 @dataclass
 class Booster(Learner):
-    """Newton boosting: leaf = -G / (H + lambda), gain by the usual second-order formula less gamma.
+    """Newton boosting: leaf = -soft(G, alpha) / (H + lambda), gain by the usual second-order formula less gamma.
 
     ``growth``: level (all nodes of a depth), leaf (best leaf first, up to ``leaves``) or oblivious (one split for a depth).
+    ``subsample`` and ``colsample`` are shares of the rows of a round and of the features of a tree. With ``other_rate``
+    above 0 and ``top_rate`` below 1 a round takes that share of the rows with the largest gradients and that share of the
+    rest, whose gradients are amplified (one-side sampling; the cut lies on a histogram of 4,096 bins). ``plain`` grows on
+    squared errors of the gradients and fits the leaves by a Newton step afterwards. ``eval_set`` has the task's columns;
+    after ``early_stopping`` rounds without an improvement above 1e-10 of its loss the trees after the best round go.
+    ``single`` lets the trees of a round have one feature each, in turn.
     """
 
     n_estimators: int = 100
     learning_rate: float = 0.3
-    max_depth: int = 6
+    max_depth: int | None = 6
     reg_lambda: float = 1.0
     alpha: float = 0.0
     gamma: float = 0.0
     min_child_weight: float = 1.0
+    min_split: int = 2
+    min_leaf: int = 1
     n_bins: int = 254
     growth: str = "level"
     leaves: int = 31
     objective: str = ""
     tau: float = 0.5
+    subsample: float = 1.0
+    colsample: float = 1.0
+    top_rate: float = 1.0
+    other_rate: float = 0.0
+    plain: bool = False
+    single: bool = False
+    early_stopping: int = 0
+    eval_set: DataFrame | None = None
+    seed: int = 42
     monotone: dict[str, int] = field(default_factory=dict)
     local_cells: int = 50_000_000
     id = "xgboost"
-    properties = "CRWPNI"
+    properties = "CRWPNKI"
 
     def _fit(self, task: Task) -> BoostedModel:
+        if self.early_stopping and self.eval_set is None:
+            raise FitError("early stopping needs an eval set")
+        if self.single and task.kind == "classif" and task.n_classes > 2:
+            raise NotSupported(f"{self.id} doesn't fit more than two classes")
         name = self.objective or ("squared" if task.kind == "regress" else "logistic" if task.n_classes <= 2 else "softmax")
         obj = Objective(name, task.n_classes if name == "softmax" else 1, tau=self.tau)
-        cuts = bin_edges(task.df, task.features, self.n_bins)
+        cuts = bin_edges(task.df, task.features, min(self.n_bins, 254), task.categories)
         y = F.col(task.target).cast("double")
         w = F.col(task.weight).cast("double") if task.weight else F.lit(1.0)
-        rows = task.df.select(*(present(c).alias(f"f{i}") for i, c in enumerate(task.features)), y.alias("y"), w.alias("w")).where("w > 0")
-        n, mean, q = rows.agg(F.count("*"), F.sum(F.col("w") * F.col("y")) / F.sum("w"), F.percentile_approx("y", self.tau)).first()
+        rows = task.df.select(y.alias("y"), w.alias("w")).where("w > 0")
+        classes = [F.sum(F.when(F.col("y") == k, F.col("w")).otherwise(0.0)) / F.sum("w") for k in range(obj.outputs)] if name == "softmax" else []
+        n, mean, q, *shares = rows.agg(F.count("*"), F.sum(F.col("w") * F.col("y")) / F.sum("w"), F.percentile_approx("y", self.tau, 100_000), *classes).first()
         if not n:
             raise FitError("no rows")
-        start = obj.start(float(mean), float(q))
-        binned = to_bins(rows, cuts)
-        if n * len(cuts) <= self.local_cells:
-            t = binned.toArrow()
-            x = np.frombuffer(b"".join(t["x"].to_pylist()), np.uint8).reshape(-1, len(cuts))
-            store = LocalRows(x, t["y"].to_numpy().astype(float), t["w"].to_numpy().astype(float), obj, start)
-        else:
-            store = SparkRows(binned, obj, start)
-        sign = np.array([self.monotone.get(c, 0) for c in task.features])
+        start = obj.start(float(mean), float(q), shares)
+        blocks = lambda df: pack(df, task.features, cuts, y, w, start)
+        store = store_of(blocks(task.df), self.local_cells)
+        watch = store_of(blocks(self.eval_set), self.local_cells) if self.early_stopping else None
+        p, weighted, rng = len(cuts), task.weight is not None, np.random.default_rng(self.seed)
+        how = self._how(task, cuts, obj)
         trees: list[tuple[int, Tree]] = []
-        for _ in range(self.n_estimators):
-            store.begin()
-            grown = []
+        best, best_at, rounds = math.inf, 0, 0
+        for r in range(self.n_estimators * (p if self.single else 1)):
+            take = self._sampled(store, r, obj, weighted)
+            how.allowed = None
+            if self.single:
+                how.allowed = np.arange(p) == r % p
+            elif self.colsample < 1:
+                how.allowed = np.isin(np.arange(p), rng.choice(p, max(1, round(self.colsample * p)), replace=False))
+            grown, leaves = [], []
             for k in range(obj.outputs):
-                t = Tree()
-                store.open(k, t)
-                self._grow(store, t, sign)
-                t.value = [v * self.learning_rate for v in t.value]
-                store.done(k, t)
+                t, key = Tree(), (r, k)
+                store.open(key, t, lambda v, key, take=take: take(v, key))
+                if self.growth == "leaf":
+                    grow_leaves(store, key, t, how, self.leaves, r)
+                elif self.growth == "oblivious":
+                    grow_oblivious(store, key, t, how, r)
+                else:
+                    grow(store, [key], [t], how, r)
+                at = store.close(key)
+                if self.plain and name != "squared":
+                    self._refit(store, t, obj, k, weighted)
+                t.value = [float(v) * self.learning_rate for v in t.value]
                 grown.append((k, t))
-            store.end()
+                leaves.append(at)
+            store.add(grown, leaves if leaves[0] is not None else None)
             trees += grown
+            rounds += 1
+            if watch is not None:
+                watch.add(grown)
+                total, weight = watch.total(lambda v: np.array([(obj.loss(v.y, v.m) * v.w).sum(), v.w.sum()]))
+                if best - total / weight > 1e-10:
+                    best, best_at = total / weight, rounds
+                elif rounds - best_at >= self.early_stopping:
+                    break
+        if watch is not None:
+            trees = trees[: best_at * obj.outputs]
         return BoostedModel(task.features, cuts, trees, obj, start, task.kind)
 
-    def _weight(self, g: float, h: float) -> float:
-        g = math.copysign(max(abs(g) - self.alpha, 0.0), g)
-        return -g / (h + self.reg_lambda) if h + self.reg_lambda > 0 else 0.0
-
-    def _splits(self, hist: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gains (nodes, features, bins, 2) of cuts below each bin, missing right or left; impossible ones are -inf. And node totals."""
-        total = hist[:, 0].sum(1)
-        c = np.cumsum(hist[:, :, :MISSING], axis=2)[:, :, :-1]
-        miss = hist[:, :, MISSING][:, :, None]
-        gains = []
-        lam = self.reg_lambda
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = lambda s: s[..., 0] ** 2 / (s[..., 1] + lam)
-            for left in (c, c + miss):
-                right = total[:, None, None] - left
-                gain = 0.5 * (score(left) + score(right) - score(total[:, None, None])) - self.gamma
-                ok = (left[..., 1] >= self.min_child_weight) & (right[..., 1] >= self.min_child_weight) & (left[..., 2] > 0) & (right[..., 2] > 0)
-                if sign.any():
-                    wl, wr = -left[..., 0] / (left[..., 1] + lam), -right[..., 0] / (right[..., 1] + lam)
-                    ok &= (sign[None, :, None] * (wr - wl)) >= 0
-                gains.append(np.where(ok & np.isfinite(gain), gain, -np.inf))
-        gains[1] = np.where(miss[..., 1] > 0, gains[1], -np.inf)
-        return np.stack(gains, -1), total
-
-    def _grow(self, store, t: Tree, sign: np.ndarray) -> None:
-        if self.growth == "leaf":
-            return self._grow_leaves(store, t, sign)
-        nodes = [0]
-        for depth in range(self.max_depth + 1):
-            gains, total = self._splits(store.histograms(nodes), sign)
-            for i, n in enumerate(nodes):
-                t.value[n] = self._weight(total[i, 0], total[i, 1])
-            if depth == self.max_depth:
-                return None
-            split = []
-            if self.growth == "oblivious":
-                whole = np.where(np.isfinite(gains), gains, 0.0).sum(0)
-                f, b, m = np.unravel_index(whole.argmax(), whole.shape)
-                if whole[f, b, m] <= 0:
-                    return None
-                split = [(n, int(f), int(b), bool(m), float(whole[f, b, m]) / len(nodes)) for n in nodes]
-            else:
-                for i, n in enumerate(nodes):
-                    f, b, m = np.unravel_index(gains[i].argmax(), gains[i].shape)
-                    if gains[i, f, b, m] > 0:
-                        split.append((n, int(f), int(b), bool(m), float(gains[i, f, b, m])))
-            if not split:
-                return None
-            nodes = [c for n, f, b, m, g in split for c in t.split(n, f, b + 1, m, g)]
-            store.moved([s[0] for s in split])
-        return None
-
-    def _grow_leaves(self, store, t: Tree, sign: np.ndarray) -> None:
-        best: dict[int, tuple] = {}
-
-        def look(nodes: list[int]) -> None:
-            gains, total = self._splits(store.histograms(nodes), sign)
-            for i, n in enumerate(nodes):
-                t.value[n] = self._weight(total[i, 0], total[i, 1])
-                f, b, m = np.unravel_index(gains[i].argmax(), gains[i].shape)
-                best[n] = (float(gains[i, f, b, m]), int(f), int(b), bool(m))
-
-        look([0])
-        leaves = 1
-        while leaves < self.leaves:
-            n = max(best, key=lambda k: (best[k][0], -k))
-            gain, f, b, m = best.pop(n)
-            if gain <= 0:
-                return
-            children = list(t.split(n, f, b + 1, m, gain))
-            store.moved([n])
-            look(children)
-            leaves += 1
-
-
-def bin_edges(df: DataFrame, features: list[str], n_bins: int) -> list[np.ndarray]:
-    """Cut values of each feature: between distinct values if they are few, else approximate quantiles. One aggregate for all."""
-    few = df.agg(*(F.approx_count_distinct(present(c)) for c in features)).first()
-    small = [c for c, k in zip(features, few, strict=True) if k <= n_bins // 2]
-    exact = df.agg(*(F.array_sort(F.collect_set(present(c))).alias(f"e{i}") for i, c in enumerate(small))).first() if small else []
-    large = [c for c in features if c not in small]
-    quant = df.agg(*(F.percentile_approx(present(c), [i / n_bins for i in range(1, n_bins)], 10 * n_bins) for c in large)).first() if large else []
-    values = dict(zip(small, exact, strict=True)) | dict(zip(large, quant, strict=True))
-    out = []
-    for c in features:
-        v = np.unique(np.array(values[c] or [], float))
-        out.append((v[1:] + v[:-1]) / 2 if c in small else v)
-    return out
-
-
-def to_bins(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """(x binary, y, w): a byte a feature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.full((b.num_rows, len(cuts)), MISSING, np.uint8)
-            for i, c in enumerate(cuts):
-                v = b.column(i).to_numpy(zero_copy_only=False).astype(float)
-                ok = ~np.isnan(v)
-                x[ok, i] = np.searchsorted(c, v[ok], "right")
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(len(cuts)), b.column(len(cuts) + 1)], ["x", "y", "w"])
-
-    return rows.mapInArrow(run, "x binary, y double, w double")
+    def _how(self, task: Task, cuts: list, obj: Objective) -> Growth:
+        lam, alpha = self.reg_lambda, self.alpha
+
+        def leaf(s: np.ndarray) -> float:
+            g = math.copysign(max(abs(s[0]) - alpha, 0.0), s[0])
+            return float(-g / (s[1] + lam)) if s[1] + lam > 0 else 0.0
+
+        return Growth(
+            score=(lambda s: 0.5 * s[..., 0] ** 2 / (s[..., 1] + lam)) if lam else (lambda s: 0.5 * s[..., 0] ** 2 / np.maximum(s[..., 1], 1e-12)),
+            leaf=leaf,
+            max_depth=self.max_depth,
+            min_split=self.min_split,
+            min_leaf=self.min_leaf,
+            min_weight=0.0 if self.plain else self.min_child_weight,
+            weight=1,
+            gamma=self.gamma,
+            categories=tuple(i for i, c in enumerate(cuts) if c is None),
+            monotone=np.array([self.monotone.get(c, 0) for c in task.features]),
+        )
+
+    def _sampled(self, store, r: int, obj: Objective, weighted: bool):
+        """Channels (g, h, count) of a round, and which rows it takes."""
+        seed, sub, plain = self.seed, self.subsample, self.plain
+        one_sided, amplify, cut = self.top_rate < 1 and self.other_rate > 0, 1.0, 0.0
+        if one_sided:
+            size = lambda v: sum(np.abs(obj.gradients(v.y, v.m, k)[0] * v.w) for k in range(obj.outputs))
+            top = _largest(store, size)
+            counts = store.total(lambda v: np.histogram(size(v), 4096, (0, top))[0]) if top > 0 else np.ones(4096)
+            above = np.cumsum(counts[::-1])[::-1]
+            whole = above[0]
+            at = int(np.argmin(np.abs(above - self.top_rate * whole)))
+            cut, rest = at * top / 4096, whole - above[at]
+            share = min(1.0, self.other_rate * whole / rest) if rest else 0.0
+            amplify = 1 / share if share else 1.0
+
+        def channels(v: View, key: tuple) -> tuple[list, np.ndarray | None]:
+            g, h = obj.gradients(v.y, v.m, key[1])
+            if plain:
+                h = None
+            scale, rows = v.w if weighted else None, None
+            if one_sided:
+                large = size(v) >= cut
+                rows = large | (v.random(seed, r, 1) < share)
+                scale = np.where(large, 1.0, amplify) * (1.0 if scale is None else scale)
+            if sub < 1:
+                drawn = v.random(seed, r, 0) < sub
+                rows = drawn if rows is None else rows & drawn
+            return [g if scale is None else g * scale, scale if h is None else h if scale is None else h * scale, None], rows
+
+        return channels
+
+    @staticmethod
+    def _refit(store, t: Tree, obj: Objective, k: int, weighted: bool) -> None:
+        """Leaves by a Newton step over all rows."""
+        n = len(t.feature)
+
+        def leaf_sums(v: View) -> np.ndarray:
+            at = t.apply(v.x)
+            g, h = obj.gradients(v.y, v.m, k)
+            h = np.ones(v.n) if h is None else h
+            return np.stack([np.bincount(at, g * v.w, n), np.bincount(at, h * v.w, n)]).ravel()
+
+        g, h = np.asarray(store.total(leaf_sums)).reshape(2, n)
+        scale = (obj.outputs - 1) / obj.outputs if obj.outputs > 1 else 1.0
+        t.value = [float(-scale * a / b) if b > 1e-12 else 0.0 for a, b in zip(g, h, strict=True)]
+
+
+def _largest(store, f) -> float:
+    """The largest value of ``f``, by sums only: of powers of two that it doesn't pass."""
+    counts = store.total(lambda v: np.bincount(np.clip(np.frexp(np.maximum(f(v), 1e-300))[1] + 1024, 0, 2047), minlength=2048))
+    return float(2.0 ** (int(np.flatnonzero(counts).max()) - 1024)) if counts.any() else 0.0
 
 
 @dataclass
 class BoostedModel(Model):
     cols: list[str]
-    cuts: list[np.ndarray]
+    cuts: list[np.ndarray | None]
     trees: list[tuple[int, Tree]]
     objective: Objective
-    start: float
+    start: list[float]
     kind: str
 
     def importance(self) -> dict[str, float]:
-        total = dict.fromkeys(self.cols, 0.0)
-        for _, t in self.trees:
-            for f, g in zip(t.feature, t.gain, strict=True):
-                if f >= 0:
-                    total[self.cols[f]] += g
-        whole = sum(total.values()) or 1.0
-        return {c: v / whole for c, v in total.items()}
+        return importances(self.cols, [t for _, t in self.trees])
 
     def predict(self, df: DataFrame) -> DataFrame:
-        m, names = self, df.columns
         classes = self.kind == "classif"
-        kind = df.schema
-        sent = df.sparkSession.sparkContext.broadcast((self.cuts, self.trees, self.objective, self.start))
-        rows = df.select(*df.columns, F.struct(*(present(c).alias(f"f{i}") for i, c in enumerate(m.cols))).alias("_x"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cuts, trees, obj, start = sent.value
-            for b in batches:
-                s = b.column(b.num_columns - 1)
-                x = np.full((b.num_rows, len(cuts)), MISSING, np.uint8)
-                for i, c in enumerate(cuts):
-                    v = s.field(i).to_numpy(zero_copy_only=False).astype(float)
-                    ok = ~np.isnan(v)
-                    x[ok, i] = np.searchsorted(c, v[ok], "right")
-                out = np.full((b.num_rows, obj.outputs), start)
-                for k, t in trees:
-                    out[:, k] += np.array(t.value)[t.apply(x)]
-                if not classes:
-                    y = np.exp(out[:, 0]) if obj.name == "poisson" else out[:, 0]
-                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(y)], [*names, "predicted"])
-                    continue
-                if obj.outputs == 1:
-                    p = 1 / (1 + np.exp(-out[:, 0]))
-                    p = np.stack([1 - p, p], 1)
-                else:
-                    e = np.exp(out - out.max(1, keepdims=True))
-                    p = e / e.sum(1, keepdims=True)
-                y = p.shape[1] - 1 - p[:, ::-1].argmax(1)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(y, pa.int32()), pa.array(p.tolist(), pa.list_(pa.float64()))], [*names, "predicted", "probabilities"])
 
-        schema = type(kind)([*kind.fields])
-        schema = schema.add("predicted", "integer").add("probabilities", ArrayType(DoubleType())) if classes else schema.add("predicted", "double")
-        return rows.mapInArrow(run, schema)
+        def f(model, x: np.ndarray) -> list:
+            trees, obj, start = model
+            m = np.repeat(np.array(start, float)[:, None], x.shape[1], axis=1)
+            for k, t in trees:
+                m[k] += np.array(t.value)[t.apply(x)]
+            if not classes:
+                return [obj.response(m)]
+            p = obj.probabilities(m)
+            return [p.shape[1] - 1 - p[:, ::-1].argmax(1), p]
+
+        out = [("predicted", "int"), ("probabilities", "array<double>")] if classes else [("predicted", "double")]
+        return scored(df, self.cols, self.cuts, out, f, (self.trees, self.objective, self.start))
+
+
+@dataclass
+class CatModel(Model):
+    base: BoostedModel
+    tables: dict[str, DataFrame]
+    prior: list[float]
+
+    def importance(self) -> dict[str, float]:
+        out: dict[str, float] = {}
+        for c, v in self.base.importance().items():
+            c = c.split("\0")[0].removeprefix("_ts_")
+            out[c] = out.get(c, 0.0) + v
+        return out
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        names = df.columns
+        out = df
+        for c, t in self.tables.items():
+            keys = [x for x in t.columns if x != "_key"]
+            out = out.withColumn("_key", F.col(c).cast("string")).join(F.broadcast(t) if t.count() <= 200_000 else t, "_key", "left").drop("_key")
+            # An unseen category has the prior; a missing one stays missing.
+            out = out.withColumns({k: F.when(F.col(c).isNotNull(), F.coalesce(F.col(f"`{k}`"), F.lit(p))) for k, p in zip(keys, self.prior, strict=True)})
+        out = self.base.predict(out)
+        return out.select(*(n for n in names if n not in ("predicted", "probabilities")), *(c for c in ("predicted", "probabilities") if c in out.columns))
+
+
+def ordered_statistic(df: DataFrame, ids: list[str], category: str, targets: list, prior: list[float], names: list[str], a: float = 1.0, seed: int = 42) -> DataFrame:
+    """``df`` with (sum of the targets of the category's earlier rows + a prior) / (their number + a); null for a missing category.
+
+    Rows go in the order of 60 bits of the md5 of seed and ids. Running sums inside a category are taken by ranges of that
+    order, so a category that fills a third of the rows is no single window.
+    """
+    order = F.conv(F.substring(md5_key(seed, ids), 1, 15), 16, 10).cast("long")
+    sums = [f"_s{k}" for k in range(len(targets))]
+    one = df.withColumns({"_key": F.col(category).cast("string"), "_o": order, "_n": F.lit(1), **dict(zip(sums, targets, strict=True))})
+    before = prefix_sums(one.withColumn("_key", F.coalesce("_key", F.lit(""))), "_o", [*sums, "_n"], by=["_key"])
+    stat = [F.when(F.col(category).isNotNull(), (F.col(f"cum_{s}") - F.col(s) + a * p) / (F.col("cum__n") - 1 + a)).alias(n) for s, n, p in zip(sums, names, prior, strict=True)]
+    return before.select(*df.columns, *stat)
+
+
+@dataclass
+class CatBooster(Booster):
+    """Oblivious trees; ``cat_features`` are replaced by ordered target statistics.
+
+    See ``ordered_statistic``; the prior is the target's mean. Predictions use the statistics of all training rows. With more than two classes each class has a statistic.
+    """
+
+    learning_rate: float = 0.1
+    growth: str = "oblivious"
+    n_bins: int = 64
+    cat_features: list[str] = field(default_factory=list)
+    prior_strength: float = 1.0
+    id = "catboost"
+
+    def _fit(self, task: Task) -> Model:
+        if not self.cat_features:
+            return super()._fit(task)
+        a = self.prior_strength
+        many = task.kind == "classif" and task.n_classes > 2
+        y = F.col(task.target).cast("double")
+        targets = [(y == k).cast("double") for k in range(task.n_classes)] if many else [y]
+        prior = [float(v or 0.0) for v in task.df.agg(*(F.avg(t) for t in targets)).first()]
+        df = materialize(task.df, "catboost")
+        tables, features = {}, [c for c in task.features if c not in self.cat_features]
+        for c in self.cat_features:
+            names = [f"_ts_{c}" if not many else f"_ts_{c}_{k}" for k in range(len(targets))]
+            df = ordered_statistic(df, task.ids, c, targets, prior, names, a, self.seed)
+            one = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("_key"), *(t.alias(f"_s{k}") for k, t in enumerate(targets)))
+            tables[c] = materialize(one.groupBy("_key").agg(*(((F.sum(f"_s{k}") + a * p) / (F.count("*") + a)).alias(n) for k, (n, p) in enumerate(zip(names, prior, strict=True)))), "statistics")
+            features += names
+        df = materialize(df, "catboost")
+        base = super()._fit(replace(task, df=df, features=features, categories={}))
+        return CatModel(base, tables, prior)
 
 
 def xgboost(**options) -> Booster:
@@ -453,24 +370,29 @@ def xgboost(**options) -> Booster:
 
 
 def lightgbm(**options) -> Booster:
-    b = Booster(**({"learning_rate": 0.1, "growth": "leaf", "reg_lambda": 0.0} | options))
+    b = Booster(**({"learning_rate": 0.1, "growth": "leaf", "reg_lambda": 0.0, "max_depth": None} | options))
     b.id = "lightgbm"
     return b
 
 
-def catboost(**options) -> Booster:
-    b = Booster(**({"learning_rate": 0.1, "growth": "oblivious", "n_bins": 64} | options))
-    b.id = "catboost"
-    return b
+def catboost(**options) -> CatBooster:
+    return CatBooster(**options)
 
 
 def gradient_boosting(**options) -> Booster:
-    b = Booster(**({"learning_rate": 0.1, "max_depth": 3, "reg_lambda": 0.0} | options))
+    b = Booster(**({"learning_rate": 0.1, "max_depth": 3, "reg_lambda": 0.0, "plain": True} | options))
     b.id = "gradient_boosting"
     return b
 
 
-def quantile_gb(tau: float, **options) -> Booster:
+def quantile_gb(tau: float = 0.5, **options) -> Booster:
     b = Booster(**({"learning_rate": 0.1, "max_depth": 3, "reg_lambda": 0.0, "objective": "quantile", "tau": tau} | options))
-    b.id = "quantile_gb"
+    b.id, b.properties = "quantile_gb", "RNI"
+    return b
+
+
+def ebm(**options) -> Booster:
+    """Additive trees of one feature each, in turn: ``n_estimators`` rounds over all features."""
+    b = Booster(**({"learning_rate": 0.01, "max_depth": 3, "reg_lambda": 0.0, "min_leaf": 2, "plain": True, "single": True} | options))
+    b.id, b.properties = "ebm", "CRPNI"
     return b

@@ -77,7 +77,7 @@ def to_json(model: Model) -> str:
     elif isinstance(model, LogisticModel):
         body = {"kind": "logistic", "cols": model.cols, "coefs": [[b, list(map(float, w))] for b, w in model.coefs]}
     elif isinstance(model, BoostedModel):
-        body = {"kind": "boosted", "cols": model.cols, "cuts": [c.tolist() for c in model.cuts], "trees": [[k, {a: [v.item() if hasattr(v, "item") else v for v in x] for a, x in vars(t).items()}] for k, t in model.trees], "objective": vars(model.objective), "start": model.start, "task": model.kind}
+        body = {"kind": "boosted", "cols": model.cols, "cuts": [None if c is None else c.tolist() for c in model.cuts], "trees": [[k, {a: [v.item() if hasattr(v, "item") else v for v in x] for a, x in vars(t).items()}] for k, t in model.trees], "objective": vars(model.objective), "start": model.start, "task": model.kind}
     else:
         raise EngineError(f"{type(model).__name__} has no file format")
     return json.dumps({"format_version": FORMAT_VERSION, "model": body})
@@ -94,7 +94,7 @@ def from_json(text: str) -> Model:
         return LinearModel(m["cols"], m["bias"], np.array(m["weights"]))
     if m["kind"] == "logistic":
         return LogisticModel(m["cols"], [(b, np.array(w)) for b, w in m["coefs"]])
-    return BoostedModel(m["cols"], [np.array(c) for c in m["cuts"]], [(k, Tree(**t)) for k, t in m["trees"]], Objective(**m["objective"]), m["start"], m["task"])
+    return BoostedModel(m["cols"], [None if c is None else np.array(c) for c in m["cuts"]], [(k, Tree(**t)) for k, t in m["trees"]], Objective(**m["objective"]), m["start"], m["task"])
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:
