@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.errors import FitError
-from sparkloom.functions.expr import prefix_sums
+from sparkloom.functions.expr import prefix_sums, splits
 from sparkloom.operators.transform import moments
+from sparkloom.storage import materialize
 
 
 def risk_table(df: DataFrame, time: str, event: str) -> DataFrame:
     """(t, d, n_at, at_risk): events and rows at each distinct time, and rows at or after it."""
-    g = df.groupBy(F.col(time).cast("double").alias("t")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("n_at"))
+    g = materialize(df.groupBy(F.col(time).cast("double").alias("t")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("n_at")), "times")
     return prefix_sums(g, "t", ["n_at"], desc=True).withColumnRenamed("cum_n_at", "at_risk")
 
 
 def nelson_aalen(df: DataFrame, time: str, event: str) -> DataFrame:
     """(t, d, at_risk, hazard, survival) at event times; hazard is the sum of d / at_risk, survival exp(-hazard)."""
-    r = risk_table(df, time, event).where("d > 0").withColumn("h", F.col("d") / F.col("at_risk").cast("double"))
+    r = materialize(risk_table(df, time, event).where("d > 0").withColumn("h", F.col("d") / F.col("at_risk").cast("double")), "hazards")
     return prefix_sums(r, "t", ["h"]).select("t", "d", "at_risk", F.col("cum_h").alias("hazard"), F.exp(-F.col("cum_h")).alias("survival"))
 
 
@@ -55,37 +56,53 @@ def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     return s.withColumn("statistic", F.when(F.col("variance") > 0, o * o / F.col("variance")).otherwise(0.0))
 
 
-def concordance(df: DataFrame, time: str, event: str, risk: str, block: int = 2000) -> DataFrame:
+def _pairs(t: np.ndarray, e: np.ndarray, r: np.ndarray, zone: np.ndarray | None = None, step: int = 1024) -> tuple[float, float]:
+    """Concordant and comparable pairs among rows, with ``zone`` only of rows in different zones. Pairs are counted and never kept."""
+    good = total = 0.0
+    for lo in range(0, len(t), step):
+        a = slice(lo, lo + step)
+        for at in range(lo, len(t), step):
+            b = slice(at, at + step)
+            pair = np.triu(np.ones((len(t[a]), len(t[b])), bool), 1) if at == lo else np.ones((len(t[a]), len(t[b])), bool)
+            if zone is not None:
+                pair &= zone[a, None] != zone[b]
+            first, second = t[a, None], t[b]
+            same = (first == second) & ((e[a, None] + e[b]) > 0) & pair
+            ok = (first != second) & (np.where(first < second, e[a, None], e[b]) > 0) & pair
+            gap = np.where(first < second, r[a, None] - r[b], r[b] - r[a, None])
+            total += same.sum() + ok.sum()
+            good += 0.5 * same.sum() + ((gap > 1e-10) & ok).sum() + 0.5 * ((np.abs(gap) <= 1e-10) & ok).sum()
+    return float(good), float(total)
+
+
+def concordance(df: DataFrame, time: str, event: str, risk: str, size: int = 3000) -> DataFrame:
     """(concordant, comparable, c_index). Pairs at one time, one of them an event, count a half; of others the earlier must be an event.
 
-    Rows are packed into blocks and blocks are compared pair by pair in numpy, so pairs are counted and never made.
+    Times and risks are cut into ranges of about ``size`` rows. Pairs in different ranges of both are counted from the
+    numbers of rows in the cells; pairs in one range of time, or in one of risk and different ones of time, are counted
+    in that range. So the work is n * size, not n * n. Risks within 1e-10 are equal only inside a range of risk.
     """
-    spark = df.sparkSession
-    n = df.count()
-    parts = max(1, -(-n // block))
-    rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).cast("double").alias("r"))
-    packed = rows.groupBy(F.pmod(F.xxhash64("t", "e", "r", F.monotonically_increasing_id()), F.lit(parts)).alias("b")).agg(F.collect_list(F.struct("t", "e", "r")).alias("x"))
-    a, b = packed.select(F.col("b").alias("i"), F.col("x").alias("p")), packed.select(F.col("b").alias("j"), F.col("x").alias("q"))
-    meet = a.join(b, F.col("i") <= F.col("j")).repartition(max(1, min(parts * parts, 4 * spark.sparkContext.defaultParallelism)))
-
-    def count(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            good = total = 0.0
-            for i, j, p, q in zip(batch["i"].to_pylist(), batch["j"].to_pylist(), batch["p"].to_pylist(), batch["q"].to_pylist(), strict=True):
-                t, e, r = (np.array([x[k] for x in p], float) for k in "ter")
-                u, f, s = (np.array([x[k] for x in q], float) for k in "ter")
-                pair = np.triu(np.ones((len(t), len(u)), bool), 1) if i == j else np.ones((len(t), len(u)), bool)
-                same = (t[:, None] == u) & ((e[:, None] + f) > 0) & pair
-                early = np.where(t[:, None] < u, e[:, None], f) > 0
-                ok = (t[:, None] != u) & early & pair
-                gap = np.where(t[:, None] < u, r[:, None] - s, s - r[:, None])
-                total += same.sum() + ok.sum()
-                good += 0.5 * same.sum() + ((gap > 1e-10) & ok).sum() + 0.5 * ((np.abs(gap) <= 1e-10) & ok).sum()
-            yield pa.RecordBatch.from_arrays([pa.array([good]), pa.array([total])], ["good", "total"])
-
-    s = meet.mapInArrow(count, "good double, total double").agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("concordant"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("comparable"))
+    rows = materialize(df.select(F.col(time).cast("double").alias("t"), F.coalesce(F.col(event).cast("int"), F.lit(0)).alias("e"), F.col(risk).cast("double").alias("r")), "survival")
+    parts = max(1, min(1000, rows.count() // size))
+    zone = lambda c: sum((F.when(F.col(c) >= F.lit(v), 1).otherwise(0) for v in (splits(rows, c, parts) if parts > 1 else [])), F.lit(0))
+    cut = materialize(rows.withColumns({"tz": zone("t"), "rz": zone("r")}), "ranges")
+
+    def inside(key: str, other: str | None):
+        def run(pdf):
+            import pandas as pd
+
+            return pd.DataFrame([_pairs(*(pdf[c].to_numpy(float) for c in "ter"), None if other is None else pdf[other].to_numpy())], columns=["good", "total"])
+
+        return cut.groupBy(key).applyInPandas(run, "good double, total double")
+
+    cells = cut.groupBy("tz", "rz").agg(F.count("*").alias("n"), F.sum("e").alias("d")).collect()
+    n, d = np.zeros((parts, parts)), np.zeros((parts, parts))
+    for c in cells:
+        n[c["tz"], c["rz"]], d[c["tz"], c["rz"]] = c["n"], c["d"]
+    after = n.sum(0) - np.cumsum(n, axis=0)
+    below = np.cumsum(after, axis=1) - after
+    good, total = float((d * below).sum()), float((d * (after.sum(1, keepdims=True) - after)).sum())
+    s = inside("tz", None).unionAll(inside("rz", "tz")).agg((F.coalesce(F.sum("good"), F.lit(0.0)) + good).alias("concordant"), (F.coalesce(F.sum("total"), F.lit(0.0)) + total).alias("comparable"))
     return s.withColumn("c_index", F.when(F.col("comparable") > 0, F.col("concordant") / F.col("comparable")).otherwise(0.5))
 
 

@@ -122,9 +122,12 @@ class LabelEncoder:
         self.table = ranked.select("label", (F.col("_o") + F.row_number().over(Window.partitionBy("_p").orderBy("label")) - 1).cast("int").alias("code"))
         return self
 
-    def encode(self, df: DataFrame, out: str = "code") -> DataFrame:
-        """``df`` with the code; an unknown label is null. Fails on request only: see ``unknown``."""
-        return df.join(self.table.select(F.col("label").alias(self.col), F.col("code").alias(out)), self.col, "left")
+    def encode(self, df: DataFrame, out: str = "code", strict: bool = True) -> DataFrame:
+        """``df`` with the code, null for a null. An unknown label is an error when the rows are read, or null without ``strict``."""
+        found = df.join(self.table.select(F.col("label").alias(self.col), F.col("code").alias(out)), self.col, "left")
+        if not strict:
+            return found
+        return found.withColumn(out, F.when(F.col(out).isNull() & F.col(self.col).isNotNull(), F.raise_error(F.concat(F.lit("unknown label "), F.col(self.col).cast("string"))).cast("int")).otherwise(F.col(out)))
 
     def unknown(self, df: DataFrame) -> DataFrame:
         return df.join(self.table.select(F.col("label").alias(self.col)), self.col, "left_anti")
