@@ -131,8 +131,12 @@ def select_top(scores: DataFrame, cols: list[str], k: int) -> list[str]:
     return [cols[i] for i in sorted(top)]
 
 
-def cumulative_ranking(frames: dict[str, DataFrame], cols: list[str]) -> DataFrame:
-    """(feature, rank_sum, place): sums of the ordinal ranks that each filter gives, ties in column order."""
+def cumulative_ranking(frames: dict[str, DataFrame], cols: list[str], top_k: int | None = None, df: DataFrame | None = None, cutoff: float | None = None) -> DataFrame:
+    """(feature, rank_sum, place): sums of the ordinal ranks that each filter gives, ties in column order.
+
+    With ``cutoff`` a feature whose absolute correlation with a better placed one that is kept lies above it is dropped;
+    ``top_k`` then keeps the first.
+    """
     spark = next(iter(frames.values())).sparkSession
     total = dict.fromkeys(cols, 0)
     for f in frames.values():
@@ -140,4 +144,14 @@ def cumulative_ranking(frames: dict[str, DataFrame], cols: list[str]) -> DataFra
         for i, c in enumerate(sorted(cols, key=lambda c: (-s[c], cols.index(c)))):
             total[c] += i + 1
     ordered = sorted(cols, key=lambda c: (total[c], cols.index(c)))
+    if cutoff is not None and df is not None:
+        pairs = [(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :]]
+        found = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs))).first() if pairs else []
+        r = {p: abs(v or 0.0) for p, v in zip(pairs, found, strict=True)}
+        kept: list[str] = []
+        for c in ordered:
+            if all(r[k, c] <= cutoff for k in kept):
+                kept.append(c)
+        ordered = kept
+    ordered = ordered[:top_k]
     return spark.createDataFrame([(c, total[c], i + 1) for i, c in enumerate(ordered)], "feature string, rank_sum long, place long")

@@ -26,6 +26,8 @@ class Task:
     n_classes: int = 0
     weight: str | None = None
     categories: dict[str, int] = field(default_factory=dict)
+    class_names: tuple[str, ...] | None = None
+    types: dict[str, str] = field(default_factory=dict)
 
     def on(self, df: DataFrame) -> Task:
         """The same task over other rows."""
@@ -41,6 +43,21 @@ class Task:
             raise TaskError(f"{col} can't be a weight")
         return replace(self, weight=col)
 
+    def with_class_names(self, names: list[str]) -> Task:
+        if len(names) != self.n_classes:
+            raise TaskError(f"{len(names)} names for {self.n_classes} classes")
+        return replace(self, class_names=tuple(names))
+
+    def with_types(self, types: dict[str, str]) -> Task:
+        """Kinds of features, such as numeric, categorical or text; they go with the task to its folds."""
+        if unknown := types.keys() - set(self.features):
+            raise TaskError(f"no features {sorted(unknown)}")
+        return replace(self, types=types)
+
+    def rows(self, condition) -> Task:
+        """The task over the rows that meet a condition; class counts and names stay."""
+        return self.on(self.df.where(condition))
+
     def with_categories(self, cols: list[str]) -> Task:
         """Marks columns of integer codes; the count is the largest code plus 1."""
         r = self.df.agg(*(x for c in cols for x in (F.max(c), F.bool_and((F.col(c) == F.floor(F.col(c))) & (F.col(c) >= 0))))).first()
@@ -83,6 +100,8 @@ class Learner(ABC):
     properties = ""
 
     def fit(self, task: Task) -> Model:
+        if missing := [c for c in task.features if c not in task.df.columns]:
+            raise TaskError(f"no columns {missing}")
         if ("C" if task.kind == "classif" else "R") not in self.properties:
             raise NotSupported(f"{self.id} doesn't fit {task.kind} tasks")
         if task.weight and "W" not in self.properties:
