@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this folder that hold QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("measures", "preparation", "inference", "learning", "ensembles", "more")
+MODULES: tuple[str, ...] = ("measures", "preparation", "inference", "learning", "ensembles", "more", "models")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,12 +21,12 @@ def price_task(spark: SparkSession, d: str) -> Task:
     return regression(li.select(*keys, "l_quantity", "l_discount", "l_tax", F.dayofyear("l_shipdate").cast("double").alias("day"), "l_extendedprice"), ["l_quantity", "l_discount", "l_tax", "day"], "l_extendedprice", keys)
 
 
-def boosted(make, n: int = 20):
-    """R2 and RMSE of a boosted model on its own rows."""
+def boosted(make, **options):
+    """R2 of a boosted model, at the learner's defaults, on its own rows."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = price_task(spark, d)
-        m = make(n_estimators=n).fit(t)
+        m = make(**options).fit(t)
         return M.regression(m.predict(t.df), t.target).select(F.round("r2", 3).alias("r2"))
 
     return run
@@ -37,7 +37,7 @@ def root_split(spark: SparkSession, d: str) -> DataFrame:
     t = lines(spark, d)
     m = B.Booster(n_estimators=1, learning_rate=1.0, max_depth=1, reg_lambda=0.0).fit(t)
     tree = m.trees[0][1]
-    left, right = tree.value[tree.left[0]] + m.start, tree.value[tree.right[0]] + m.start
+    left, right = tree.value[tree.left[0]] + m.start[0], tree.value[tree.right[0]] + m.start[0]
     return spark.createDataFrame([(float(m.cuts[0][tree.bin[0] - 1]), round(float(left), 4), round(float(right), 4))], "cut double, left_mean double, right_mean double")
 
 
@@ -88,7 +88,7 @@ QUERIES = {
     "bagging_fit": bagged,
 }
 
-_folds = "f AS (SELECT l_quantity AS x, l_extendedprice AS y, least((row_number() OVER (ORDER BY md5(concat_ws('-', '42', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR)), l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) // ((SELECT count(*) FROM lineitem) // 3), 2)::INT AS fold FROM lineitem), s AS (SELECT k, covar_pop(x, y) AS c, var_pop(x) AS v, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM f, range(3) AS k(k) WHERE fold <> k GROUP BY 1), w AS (SELECT k, 'ols' AS learner, c / v AS w, mx, my FROM s UNION ALL SELECT k, 'ridge', c * n / (v * n + 1000), mx, my FROM s)"
+_folds = "f AS (SELECT l_quantity AS x, l_extendedprice AS y, least((row_number() OVER (ORDER BY md5(concat_ws('-', '42', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR)), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) - 1) // ((SELECT count(*) FROM lineitem) // 3), 2)::INT AS fold FROM lineitem), s AS (SELECT k, covar_pop(x, y) AS c, var_pop(x) AS v, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM f, range(3) AS k(k) WHERE fold <> k GROUP BY 1), w AS (SELECT k, 'ols' AS learner, c / v AS w, mx, my FROM s UNION ALL SELECT k, 'ridge', c * n / (v * n + 1000), mx, my FROM s)"
 ORACLES = {
     "gbt_root_split": "WITH g AS (SELECT l_quantity AS x, sum(l_extendedprice) AS s, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(s) OVER (ORDER BY x) AS ls, sum(n) OVER (ORDER BY x) AS ln, (SELECT sum(s) FROM g) AS ts, (SELECT sum(n) FROM g) AS tn FROM g), r AS (SELECT *, ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) AS gain FROM c WHERE nx IS NOT NULL) SELECT (x + nx) / 2 AS cut, round(ls / ln, 4) AS left_mean, round((ts - ls) / (tn - ln), 4) AS right_mean FROM r ORDER BY gain DESC, x LIMIT 1",
     "cost_sensitive": "WITH p AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y, l_quantity / 100.0::DOUBLE AS a, l_discount * 4.0::DOUBLE AS b, 1.0::DOUBLE - l_quantity / 100.0::DOUBLE - l_discount * 4.0::DOUBLE AS c FROM lineitem), e AS (SELECT y, [a * 0.0::DOUBLE + b * 2.0::DOUBLE + c * 1.0::DOUBLE, a * 1.0::DOUBLE + b * 0.0::DOUBLE + c * 4.0::DOUBLE, a * 5.0::DOUBLE + b * 1.0::DOUBLE + c * 0.0::DOUBLE] AS e FROM p) SELECT y, (list_position(e, list_min(e)) - 1)::INT AS predicted, count(*) AS n FROM e GROUP BY 1, 2",
