@@ -52,12 +52,31 @@ def global_rank(df: DataFrame, key: str, ids: list[str], out: str = "rn", by: li
     return joined.withColumn(out, (F.col("_o") + place - 1).cast("long")).drop("_s", "_t", "_o", *(f"_b{i}" for i in range(len(by))))
 
 
-def splits(df: DataFrame, key: str, n: int = 64) -> list:
+def ranges(df: DataFrame) -> int:
+    """Into how many ranges a table's values are cut: with the shuffle partitions, from 64 to 1,024."""
+    return max(64, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def splits(df: DataFrame, key: str, n: int | None = None) -> list:
     """Up to n - 1 cut points of a key's values, by approximate quantiles."""
-    found = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 2000)).first()[0]
+    n = n or ranges(df)
+    found = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 30 * n)).first()[0]
     return sorted(set(found or []))
 
 
+def range_of(key: str | Column, cuts: list) -> Column:
+    """The number of cut points that are not above the key, by halving; 0 for null."""
+    c = F.col(key) if isinstance(key, str) else key
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c < F.lit(cuts[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
+
+    return F.when(c.isNull(), 0).otherwise(half(0, len(cuts)))
+
+
 def prefix_sums(df: DataFrame, key: str, cols: list[str], desc: bool = False, by: list[str] | None = None) -> DataFrame:
     """``df`` with cum_<c>: the sum of c over this and all earlier keys (unique within ``by``).
 
@@ -66,7 +85,7 @@ def prefix_sums(df: DataFrame, key: str, cols: list[str], desc: bool = False, by
     """
     by = by or []
     cuts = splits(df, key)
-    part = sum((F.when(F.col(key) >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    part = range_of(key, cuts)
     cut = df.withColumn("_r", -part if desc else part)
     sums = cut.groupBy(*by, "_r").agg(*(F.sum(c).alias(f"_t_{c}") for c in cols))
     w = Window.partitionBy(*by).orderBy("_r")

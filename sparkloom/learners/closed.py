@@ -107,12 +107,12 @@ def softmax(scores: list[Column]) -> Column:
 @dataclass
 class NaiveBayesModel(Model):
     cols: list[str]
-    scores: list[Column]
+    rows: list[dict]
+    n_classes: int
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_s", F.array(*self.scores)).withColumn("predicted", last_argmax(F.col("_s")))
-        n = len(self.scores)
-        return out.withColumn("probabilities", softmax([F.col("_s")[i] for i in range(n)])).drop("_s")
+        out = df.withColumn("_nb", F.array(*nb_scores(self.cols, self.rows, self.n_classes))).withColumn("predicted", last_argmax(F.col("_nb")))
+        return out.withColumn("probabilities", softmax([F.col("_nb")[i] for i in range(self.n_classes)])).drop("_nb")
 
 
 def nb_scores(cols: list[str], rows: list[dict], n_classes: int) -> list[Column]:
@@ -143,7 +143,7 @@ class GaussianNB(Learner):
 
     def _fit(self, task: Task) -> NaiveBayesModel:
         rows = task.df.groupBy(F.col(task.target).alias("y")).agg(F.count("*").alias("n"), *(x for j, c in enumerate(task.features) for x in (F.avg(c).alias(f"m{j}"), F.var_pop(c).alias(f"v{j}")))).collect()
-        return NaiveBayesModel(task.features, nb_scores(task.features, [r.asDict() for r in rows], task.n_classes))
+        return NaiveBayesModel(task.features, [r.asDict() for r in rows], task.n_classes)
 
 
 def nb_cross_validation(task: Task, k: int, seed: int = 42) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.errors import TaskError
-from sparkloom.functions.expr import global_rank, md5_key
+from sparkloom.functions.expr import global_rank, md5_key, range_of, splits
 
 
 def _ranked(df: DataFrame, ids: list[str], seed: int, by: list[str] | None = None) -> DataFrame:
@@ -93,6 +93,13 @@ def bootstrap(df: DataFrame, ids: list[str], draws: int = 3, seed: int = 42) ->
     n = df.count()
     rows = _ranked(df.select(*ids), ids, seed)
     taken = drawn(df.sparkSession, n, draws, seed)
+    if n <= 30 and n > 1:
+        # A draw that leaves no row out is drawn again; of more rows none does.
+        for again in range(1, 50):
+            full = [r["b"] for r in taken.groupBy("b").count().where(F.col("count") == n).collect()]
+            if not full:
+                break
+            taken = taken.where(~F.col("b").isin(full)).unionByName(drawn(df.sparkSession, n, draws, seed + 1000 * again).where(F.col("b").isin(full)))
     grid = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     out = grid.join(taken, ["b", "rn"], "left")
     return out.select(F.col("b").alias("fold"), *ids, F.when(F.col("mult").isNull(), "test").otherwise("train").alias("role"), F.coalesce("mult", F.lit(1)).alias("mult"))
@@ -130,7 +137,10 @@ def spatial_block(df: DataFrame, ids: list[str], x: str, y: str, k: int = 5, siz
         w, h, cols, rows = (b[1] - b[0] + eps) / side, (b[3] - b[2] + eps) / side, side, side
     c = F.least(F.floor((F.col(x) - b[0]) / w), F.lit(cols - 1))
     r = F.least(F.floor((F.col(y) - b[2]) / h), F.lit(rows - 1))
-    return df.select(((r * cols + c) % k).cast("int").alias("fold"), *ids)
+    out = df.select(((r * cols + c) % k).cast("int").alias("fold"), *ids)
+    if out.select("fold").distinct().count() < 2:
+        raise TaskError("all rows lie in one block")
+    return out
 
 
 def spatial_buffer(df: DataFrame, ids: list[str], x: str, y: str, distance: float, k: int = 5, seed: int = 42) -> DataFrame:
@@ -149,6 +159,11 @@ def spatial_buffer(df: DataFrame, ids: list[str], x: str, y: str, distance: floa
     return folds.join(near, ["fold", *ids], "left_anti")
 
 
+def spatial_leave_one_out(df: DataFrame, ids: list[str], x: str, y: str, distance: float) -> DataFrame:
+    """(fold, ids, role): one fold for each row, whose training rows lie ``distance`` or farther from it."""
+    return spatial_buffer(df, ids, x, y, distance, df.count(), 0)
+
+
 def time_series(df: DataFrame, ids: list[str], order: list[str], horizon: int, min_train: int, step: int | None = None, window: int | None = None, gap: int = 0) -> DataFrame:
     """(fold, origin, train_from, train_to, test_from, test_to): rolling origins over time ranks, ends exclusive.
 
@@ -168,8 +183,7 @@ def time_ranks(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with rn, its rank (from 0) in time: ranges of the first order column are ranked apart and offset."""
     kind = df.schema[order[0]].dataType.typeName()
     first = F.col(order[0]).cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col(order[0]).cast("double")
-    cuts = df.select(F.percentile_approx(first, [i / 64 for i in range(1, 64)], 2000)).first()[0]
-    part = sum((F.when(first >= c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
+    part = range_of(first, splits(df.select(first.alias("_t")), "_t"))
     cut = df.withColumn("_r", part)
     sizes = cut.groupBy("_r").agg(F.count("*").alias("_n"))
     start = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_o"))

@@ -145,6 +145,15 @@ def bootstrap_ci(scores: list[float], confidence: float = 0.95, draws: int = 100
     return float(means[low]), float(means[min(draws - 1, draws - 1 - low)])
 
 
-def compare_models(scores: dict[str, list[float]], confidence: float = 0.95) -> list[dict]:
-    """Mean and interval of each model's scores."""
-    return [{"model": k, "mean": sum(v) / len(v), "interval": bootstrap_ci(v, confidence)} for k, v in scores.items()]
+def compare_models(scores: dict[str, list[float]], confidence: float = 0.95, spark=None, maximize: bool = True) -> list[dict]:
+    """Mean and interval of each model's scores, the best first. With a session also the signed-rank test of the best against each other and a verdict."""
+    rows = [{"model": k, "mean": sum(v) / len(v), "interval": bootstrap_ci(v, confidence)} for k, v in scores.items()]
+    rows.sort(key=lambda r: (-r["mean"] if maximize else r["mean"]))
+    if spark is None or len(rows) < 2:
+        return rows
+    best = rows[0]["model"]
+    for r in rows[1:]:
+        pairs = spark.createDataFrame(list(zip(map(float, scores[best]), map(float, scores[r["model"]]), strict=True)), "a double, b double")
+        r["p"] = wilcoxon(pairs, "a", "b")["p"]
+        r["verdict"] = f"{best} is better than {r['model']}" if r["p"] < 1 - confidence else f"{best} and {r['model']} don't differ"
+    return rows

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.errors import FitError
-from sparkloom.functions.expr import prefix_sums, splits
+from sparkloom.functions.expr import prefix_sums, range_of, splits
 from sparkloom.operators.transform import moments
 from sparkloom.storage import materialize
 
@@ -84,7 +84,7 @@ def concordance(df: DataFrame, time: str, event: str, risk: str, size: int = 300
     """
     rows = materialize(df.select(F.col(time).cast("double").alias("t"), F.coalesce(F.col(event).cast("int"), F.lit(0)).alias("e"), F.col(risk).cast("double").alias("r")), "survival")
     parts = max(1, min(1000, rows.count() // size))
-    zone = lambda c: sum((F.when(F.col(c) >= F.lit(v), 1).otherwise(0) for v in (splits(rows, c, parts) if parts > 1 else [])), F.lit(0))
+    zone = lambda c: range_of(c, splits(rows, c, parts) if parts > 1 else [])
     cut = materialize(rows.withColumns({"tz": zone("t"), "rz": zone("r")}), "ranges")
 
     def inside(key: str, other: str | None):

@@ -6,6 +6,7 @@ import itertools
 import math
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -104,15 +105,18 @@ def draws(space: dict[str, Uniform | list], n: int, seed: int = 42, dependencies
         yield pruned({k: v.draw(rng) if isinstance(v, Uniform) else v[rng.integers(len(v))] for k, v in sorted(space.items())}, dependencies or [])
 
 
-def search(task: Task, make: Callable[[Params], Learner], configs, measure: Callable[..., DataFrame], column: str, k: int = 5, maximize: bool = True, stop: Callable[[Progress], bool] | None = None) -> tuple[Params, float, list[tuple[Params, float]]]:
-    """(best parameters, score, history): each configuration's mean over k folds; of equal scores the first."""
+def search(task: Task, make: Callable[[Params], Learner], configs, measure: Callable[..., DataFrame], column: str, k: int = 5, maximize: bool = True, stop: Callable[[Progress], bool] | None = None, parallel: int = 1) -> tuple[Params, float, list[tuple[Params, float]]]:
+    """(best parameters, score, history): each configuration's mean over k folds; of equal scores the first. ``parallel`` configurations run as jobs side by side."""
     progress, history = Progress(), []
-    for p in configs:
-        s = resample(task, lambda p=p: make(p), measure, k).agg(F.avg(column)).first()[0]
-        history.append((p, s))
-        progress.scores.append(s)
-        if stop and stop(progress):
-            break
+    score = lambda p: resample(task, lambda: make(p), measure, k).agg(F.avg(column)).first()[0]
+    todo = iter(configs)
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        while part := list(itertools.islice(todo, max(1, parallel))):
+            for p, s in zip(part, pool.map(score, part), strict=True):
+                history.append((p, s))
+                progress.scores.append(s)
+            if stop and stop(progress):
+                break
     best = max(range(len(history)), key=lambda i: (history[i][1] if maximize else -history[i][1], -i))
     return *history[best], history
 
@@ -334,11 +338,10 @@ def front_of_two(df: DataFrame, ids: list[str], maximize: str, minimize: str) ->
     """
     from pyspark.sql import Window
 
-    from sparkloom.functions.expr import splits
+    from sparkloom.functions.expr import range_of, splits
 
     low = df.groupBy(F.col(maximize).alias("m")).agg(F.min(minimize).alias("l"))
-    part = sum((F.when(F.col("m") >= F.lit(c), 1).otherwise(0) for c in splits(low, "m")), F.lit(0))
-    cut = low.withColumn("r", -part)
+    cut = low.withColumn("r", -range_of("m", splits(low, "m")))
     over = cut.groupBy("r").agg(F.min("l").alias("b")).select("r", F.min("b").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
     inner = F.min("l").over(Window.partitionBy("r").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1))
     best = cut.join(F.broadcast(over), "r").withColumn("before", F.least(inner, "above"))

@@ -7,20 +7,19 @@ Missing tokens, in any case and trimmed: the empty string, ?, na, nan, null, n/a
 from __future__ import annotations
 
 import json
+from dataclasses import fields, is_dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.errors import EngineError, TaskError
-from sparkloom.learners.boosting import BoostedModel, Objective, Tree
-from sparkloom.learners.closed import LinearModel, LogisticModel
 from sparkloom.operators.transform import LabelEncoder
 from sparkloom.task import Model
 
 #: Fixed value: the tokens that mean a missing cell.
 MISSING_TOKENS = ("", "?", "na", "nan", "null", "n/a")
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 LARGEST_MODEL = 100 * 2**20
 
 
@@ -71,16 +70,54 @@ def number_target(df: DataFrame, target: str) -> DataFrame:
     return df
 
 
+def _kinds() -> dict[str, type]:
+    """Models that have a file format, by the name of their class."""
+    from sparkloom.learners import kernels, trees
+    from sparkloom.learners.boosting import BoostedModel, Objective
+    from sparkloom.learners.closed import LinearModel, LogisticModel, NaiveBayesModel
+    from sparkloom.learners.growth import Tree
+    from sparkloom.streaming.trainers import OnlineModel
+
+    found = (LinearModel, LogisticModel, NaiveBayesModel, BoostedModel, Objective, Tree, OnlineModel, trees.ForestModel, trees.QuantileForestModel, trees.ProjectedModel, trees.StumpModel, trees.EffectForest, trees.SurvivalForestModel, kernels.MarginModel, kernels.HiddenModel, kernels.ProcessModel, kernels.KernelModel)
+    return {k.__name__: k for k in found}
+
+
+def _out(v: object) -> object:
+    if isinstance(v, np.ndarray):
+        return {"array": [_out(x) for x in v.tolist()], "type": v.dtype.str, "shape": list(v.shape)}
+    if isinstance(v, np.generic):
+        return v.item()
+    if is_dataclass(v):
+        name = type(v).__name__
+        if name not in _kinds():
+            raise EngineError(f"{name} has no file format")
+        return {"kind": name, "fields": {f.name: _out(getattr(v, f.name)) for f in fields(v)}}
+    if isinstance(v, dict):
+        return {"dict": [[_out(k), _out(x)] for k, x in v.items()]}
+    if isinstance(v, tuple):
+        return {"tuple": [_out(x) for x in v]}
+    return [_out(x) for x in v] if isinstance(v, list) else v
+
+
+def _in(v: object) -> object:
+    if isinstance(v, list):
+        return [_in(x) for x in v]
+    if not isinstance(v, dict):
+        return v
+    if "array" in v:
+        return np.array(v["array"], v["type"]).reshape(v["shape"])
+    if "tuple" in v:
+        return tuple(_in(x) for x in v["tuple"])
+    if "dict" in v:
+        return {_in(k): _in(x) for k, x in v["dict"]}
+    if v.get("kind") not in _kinds():
+        raise EngineError(f"no model kind {v.get('kind')}")
+    return _kinds()[v["kind"]](**{k: _in(x) for k, x in v["fields"].items()})
+
+
 def to_json(model: Model) -> str:
-    if isinstance(model, LinearModel):
-        body = {"kind": "linear", "cols": model.cols, "bias": model.bias, "weights": list(map(float, model.weights))}
-    elif isinstance(model, LogisticModel):
-        body = {"kind": "logistic", "cols": model.cols, "coefs": [[b, list(map(float, w))] for b, w in model.coefs]}
-    elif isinstance(model, BoostedModel):
-        body = {"kind": "boosted", "cols": model.cols, "cuts": [None if c is None else c.tolist() for c in model.cuts], "trees": [[k, {a: [v.item() if hasattr(v, "item") else v for v in x] for a, x in vars(t).items()}] for k, t in model.trees], "objective": vars(model.objective), "start": model.start, "task": model.kind}
-    else:
-        raise EngineError(f"{type(model).__name__} has no file format")
-    return json.dumps({"format_version": FORMAT_VERSION, "model": body})
+    """Fields by name, arrays with their type and shape; only the kinds listed can be written or read."""
+    return json.dumps({"format_version": FORMAT_VERSION, "model": _out(model)})
 
 
 def from_json(text: str) -> Model:
@@ -89,12 +126,7 @@ def from_json(text: str) -> Model:
     d = json.loads(text)
     if d.get("format_version") != FORMAT_VERSION:
         raise EngineError(f"format version {d.get('format_version')}")
-    m = d["model"]
-    if m["kind"] == "linear":
-        return LinearModel(m["cols"], m["bias"], np.array(m["weights"]))
-    if m["kind"] == "logistic":
-        return LogisticModel(m["cols"], [(b, np.array(w)) for b, w in m["coefs"]])
-    return BoostedModel(m["cols"], [None if c is None else np.array(c) for c in m["cuts"]], [(k, Tree(**t)) for k, t in m["trees"]], Objective(**m["objective"]), m["start"], m["task"])
+    return _in(d["model"])
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:

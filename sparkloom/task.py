@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +85,29 @@ def regression(df: DataFrame, features: list[str], target: str, ids: list[str])
     return Task(df, features, target, ids, "regress")
 
 
+def check_present(df: DataFrame, cols: list[str]) -> None:
+    """An error if a value is missing or NaN."""
+    bad = df.agg(*(F.max((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")) for c in cols)).first()
+    if names := [c for c, b in zip(cols, bad, strict=True) if b]:
+        raise TaskError(f"values are missing in {names}")
+
+
+def check_width(df: DataFrame, cols: list[str]) -> None:
+    """An error if a column isn't there."""
+    if names := [c for c in cols if c not in df.columns]:
+        raise TaskError(f"no columns {names}")
+
+
+def check_coordinates(df: DataFrame, coords: list[str]) -> None:
+    """An error unless there are two columns of finite numbers."""
+    if len(coords) != 2:
+        raise TaskError("coordinates are two columns")
+    check_width(df, coords)
+    check_present(df, coords)
+    if df.where(" or ".join(f"abs(`{c}`) = double('infinity')" for c in coords)).limit(1).count():
+        raise TaskError("coordinates must be finite")
+
+
 class Model(ABC):
     @abstractmethod
     def predict(self, df: DataFrame) -> DataFrame:
@@ -93,12 +116,41 @@ class Model(ABC):
     def importance(self) -> dict[str, float] | None:
         return None
 
+    def permutation_importance(self, task: Task, measure, column: str, **options) -> DataFrame:
+        from sparkloom.operators.explain import permutation_importance
+
+        return permutation_importance(self, task, measure, column, **options)
+
+    def shap_values(self, task: Task, rows: DataFrame, **options) -> DataFrame:
+        from sparkloom.operators.explain import permutation_shap
+
+        return permutation_shap(self, task, rows, **options)
+
+    def conformal_predict(self, calibration: Task, df: DataFrame, alpha: float = 0.1) -> DataFrame:
+        """Intervals, or label sets for classes, from the task's rows."""
+        from sparkloom.operators.conformal import label_sets, split_intervals
+
+        known = self.predict(calibration.df)
+        if calibration.kind == "classif":
+            return label_sets(known, self.predict(df), "probabilities", calibration.target, alpha)
+        return split_intervals(known, self.predict(df), "predicted", calibration.target, alpha)
+
 
 class Learner(ABC):
     #: Id, and capabilities: C classes, R numbers, W weights, P probabilities, N missing values, I importance.
     id = ""
     properties = ""
 
+    def get_params(self) -> dict[str, object]:
+        return {f.name: getattr(self, f.name) for f in fields(self)} if is_dataclass(self) else {}
+
+    def set_params(self, **params) -> Learner:
+        if unknown := params.keys() - self.get_params().keys():
+            raise TaskError(f"{self.id} has no {sorted(unknown)}")
+        for k, v in params.items():
+            setattr(self, k, v)
+        return self
+
     def fit(self, task: Task) -> Model:
         if missing := [c for c in task.features if c not in task.df.columns]:
             raise TaskError(f"no columns {missing}")

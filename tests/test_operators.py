@@ -73,7 +73,10 @@ def test_encoders(spark):
     e = T.LabelEncoder("s").fit(df)
     new = spark.createDataFrame([("z",), ("a",)], "s string")
     assert e.unknown(new).count() == 1
-    assert {r["s"]: r["code"] for r in e.encode(new).collect()} == {"z": None, "a": 0}
+    assert {r["s"]: r["code"] for r in e.encode(new, strict=False).collect()} == {"z": None, "a": 0}
+    assert {r["s"]: r["code"] for r in e.encode(df).collect()} == {"a": 0, "b": 1, None: None}
+    with pytest.raises(Exception, match="unknown label z"):
+        e.encode(new).collect()
 
 
 def test_pca_matches_numpy(numbers):
@@ -160,7 +163,7 @@ def test_knn_and_dbscan_match_brute_force(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(120, 2)), 2)
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, x double, y double")
-    got = {(r["query"], r["place"]): r["id"] for r in N.knn(df, df, "id", ["x", "y"], 3, block=17).collect()}
+    got = {(r["query"], r["place"]): r["id"] for r in N.knn(df, df, "id", ["x", "y"], 3, leaf=17).collect()}
     d = ((x[:, None] - x) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     for i in range(120):
@@ -206,9 +209,3 @@ def test_filters_greedy_orders_all(numbers):
     for how in ("mrmr", "jmi", "jmim", "cmim"):
         assert sorted(r["score"] for r in S.greedy(numbers, ["a", "b", "c"], "y", how).collect()) == [1, 2, 3]
     assert S.select_top(S.variance(numbers, ["a", "b", "c"]), ["a", "b", "c"], 2)
-
-
-def test_boosting_takes_no_field_that_it_ignores():
-    from sparkloom.learners.boosting import Booster
-
-    assert not hasattr(Booster(), "early_stopping")
