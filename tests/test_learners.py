@@ -418,3 +418,29 @@ def test_stream_learns_what_a_table_does(spark, tmp_path):
     batch = how.fit(classification(df, ["a", "b"], "y", ["id"]))
     assert streamed.states == batch.states
     assert M.accuracy(streamed.predict(df), "y").first()[0] > 0.8
+
+
+def test_models_as_files(spark, blobs, tmp_path):
+    from sparkloom.sources import tables
+
+    c, r = classification(blobs, ["a", "b"], "k", ["id"]), regression(blobs, ["a", "b"], "y", ["id"])
+    fitted = [L.GaussianNB().fit(c), K.LinearSVM().fit(c), K.KernelSVM().fit(c), T.AdaBoost(n_estimators=2).fit(c), T.RandomForest(n_estimators=2, max_depth=2).fit(c), B.lightgbm(n_estimators=2).fit(c), S.hoeffding_tree(grace=20).fit(c), K.ELM(n_hidden=5).fit(r), K.GaussianProcess(alpha=0.1).fit(r), T.QuantileForest(n_estimators=2, max_depth=2).fit(r), T.ObliqueTree(pool=4, max_depth=2).fit(r)]
+    for m in fitted:
+        again = tables.from_json(tables.to_json(m))
+        assert [x["predicted"] for x in again.predict(blobs).orderBy("id").collect()] == [x["predicted"] for x in m.predict(blobs).orderBy("id").collect()]
+    tables.save(spark, fitted[0], str(tmp_path / "m"))
+    assert tables.load(spark, str(tmp_path / "m")).rows == fitted[0].rows
+    with pytest.raises(EngineError):
+        tables.to_json(C.DynamicModel([], blobs, c, 1))
+    with pytest.raises(EngineError):
+        tables.from_json('{"format_version": 2, "model": {"kind": "Path", "fields": {}}}')
+
+
+def test_learners_have_parameters(blobs):
+    ridge = L.Ridge(2.0)
+    assert ridge.get_params() == {"alpha": 2.0} and ridge.set_params(alpha=3.0).alpha == 3.0
+    with pytest.raises(TaskError):
+        ridge.set_params(beta=1)
+    t = regression(blobs, ["a", "b"], "y", ["id"])
+    out = L.LinearRegression().fit(t.rows("id % 2 = 0")).conformal_predict(t.rows("id % 4 = 1"), blobs, 0.2)
+    assert out.where("y < lower or y > upper").count() <= 30
