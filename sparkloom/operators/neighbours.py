@@ -18,20 +18,6 @@ def floats(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(float)
 
 
-def _blocks(df: DataFrame, id_col: str, features: list[str] | str, size: int) -> DataFrame:
-    """(block, ids, xs): rows packed into numpy blocks as they lie in their partitions."""
-    x = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(c).cast("double") for c in features))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, size):
-                s = b.slice(lo, size)
-                rows = np.array(s.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([s.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([rows.tobytes()]), pa.array([rows.shape[1]], pa.int32())], ["ids", "xs", "p"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).mapInArrow(pack, "ids binary, xs binary, p int")
-
-
 def _tree(sample: np.ndarray, leaf: int) -> list[tuple]:
     """A balanced tree over a sample: (axis, cut, left, right) of inner nodes, (-1, number) of leaves, in an array; boxes cover the whole space."""
     nodes: list[tuple] = []
@@ -293,24 +279,53 @@ def dbscan(df: DataFrame, id_col: str, x: str, y: str, eps: float, min_pts: int)
     return rows.select("id").join(core.select("id", "cluster"), "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "reach", F.lit(-1)).cast("int").alias("label"))
 
 
-def silhouette(df: DataFrame, id_col: str, features: list[str], label: str, block: int = 2048) -> DataFrame:
-    """(silhouette): mean over rows; a cluster of one counts 0, noise (-1) is left out. Distances are summed per row and cluster in blocks."""
+def silhouette(df: DataFrame, id_col: str, features: list[str], label: str) -> DataFrame:
+    """(silhouette): mean over rows; a cluster of one counts 0, noise (-1) is left out.
+
+    Every row meets every other, by definition. Rows are dealt into p groups on either side, so a row is sent 2 p times for p * p
+    units of work, and a unit gives sums by row and cluster, never pairs. A group has at most about 50,000 rows.
+    """
     live = df.where(F.col(label) >= 0)
     sizes = {r[0]: r[1] for r in live.groupBy(label).count().collect()}
-    clusters = sorted(sizes)
-    with_label = live.withColumn("_x", F.array(F.col(label).cast("double"), *(F.col(c).cast("double") for c in features)))
-    a = _blocks(with_label, id_col, "_x", 1024).withColumnsRenamed({"ids": "qids", "xs": "qxs"}).drop("p")
-    meet = a.crossJoin(_blocks(with_label, id_col, "_x", block)).repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    clusters, n = sorted(sizes), sum(sizes.values())
+    spark = df.sparkSession
+    groups = max(1, min(-(-n // 512), max(int((4 * spark.sparkContext.defaultParallelism) ** 0.5), -(-n // 50_000))))
+    rows = live.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("own"), F.array(*(F.col(c).cast("double") for c in features)).alias("x"))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "x"), F.lit(groups)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    side = lambda i, j, ask: rows.select(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(ask).alias("ask"), "id", "own", "x")
+    units = side("g", "o", True).unionAll(side("o", "g", False)).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups * groups, 2000)), "i", "j").sortWithinPartitions("i", "j", "ask")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for qi, qx, rx, p in zip(*(b[c].to_pylist() for c in ("qids", "qxs", "xs", "p")), strict=True):
-                u, v = np.frombuffer(qx).reshape(-1, p), np.frombuffer(rx).reshape(-1, p)
-                d = np.sqrt(sum((u[:, j, None] - v[None, :, j]) ** 2 for j in range(1, p)))
-                total = np.stack([d[:, v[:, 0] == c].sum(1) for c in clusters], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qi, np.int64)), pa.array(u[:, 0].astype(np.int64)), pa.array(total.tolist(), pa.list_(pa.float64()))], ["id", "own", "sums"])
+        unit, held, asked = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held and asked:
+                v, of = np.array([r[2] for r in held], float), np.array([r[1] for r in held])
+                u = np.array([r[2] for r in asked], float)
+                total = np.zeros((len(u), len(clusters)))
+                for lo in range(0, len(v), 4096):
+                    part = v[lo : lo + 4096]
+                    d = np.zeros((len(u), len(part)))
+                    for k in range(u.shape[1]):
+                        gap = u[:, k, None] - part[None, :, k]
+                        d += gap * gap
+                    d = np.sqrt(d)
+                    for c, cluster in enumerate(clusters):
+                        total[:, c] += d[:, of[lo : lo + 4096] == cluster].sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in asked], pa.int64()), pa.array([r[1] for r in asked], pa.int64()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["id", "own", "sums"])
 
-    got = meet.mapInArrow(sums, "id long, own long, sums array<double>")
+        for b in batches:
+            for i, j, ask, row, own, x in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if (i, j) != unit:
+                    yield from flush()
+                    unit, held, asked = (i, j), [], []
+                (asked if ask else held).append((row, own, x))
+                if len(asked) >= 512:
+                    yield from flush()
+                    asked = []
+        yield from flush()
+
+    got = units.mapInArrow(sums, "id long, own long, sums array<double>")
     per = got.groupBy("id", "own").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(clusters))))
     own = F.coalesce(*(F.when(F.col("own") == c, F.col(f"s{i}") / float(max(1, sizes[c] - 1))) for i, c in enumerate(clusters)))
     other = F.least(*(F.when(F.col("own") != c, F.col(f"s{i}") / float(sizes[c])) for i, c in enumerate(clusters)))

@@ -151,12 +151,11 @@ def importance(spark: SparkSession, d: str) -> DataFrame:
 
 def shapley(spark: SparkSession, d: str) -> DataFrame:
     """Largest gap between a row's values with the base and its prediction."""
-    t = price_task(spark, d)
+    t = customers(spark, d)
     m = L.LinearRegression().fit(t)
-    rows = t.df.where("l_orderkey % 500 = 0").dropDuplicates(LINE_KEY)
-    phi = X.permutation_shap(m, t, rows)
+    phi = X.permutation_shap(m, t, t.df)
     total = sum((F.col(f"phi_{c}") for c in t.features), F.col("base"))
-    return m.predict(rows).join(phi, LINE_KEY).agg(F.round(F.max(F.abs(total - F.col("predicted"))), 3).alias("gap"), F.count("*").alias("n"))
+    return m.predict(t.df).join(phi, "c_custkey").agg(F.round(F.max(F.abs(total - F.col("predicted"))), 6).alias("gap"), F.count("*").alias("n"))
 
 
 def effects(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +168,7 @@ def survival_forest(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "value", (F.col("event_type") != "error").cast("int").alias("e"), (F.col("user_id") % 7).cast("double").alias("a"), F.log(F.col("value") + 5.0).alias("b"), F.hour("ts").cast("double").alias("h"))
     how = T.SurvivalForest(n_estimators=20, max_depth=5)
     m = how.fit(e, ["a", "b", "h"], "value", "e")
-    return V.concordance(how.out_of_bag(m, e, "value", "e"), "time", "event", "mortality").select((F.col("c_index") > 0.9).alias("ordered"))
+    return V.concordance(how.out_of_bag(m, e, "value", "e"), "time", "event", "mortality").select((F.col("c_index") > 0.8).alias("ordered"))
 
 
 def pinball(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +180,7 @@ def pinball(spark: SparkSession, d: str) -> DataFrame:
 
 def gp(spark: SparkSession, d: str) -> DataFrame:
     t = place_task(spark, d)
-    m = K.GaussianProcess(length_scale=0.5, alpha=1e-4).fit(t.rows("vec_id % 5 = 0"))
+    m = K.GaussianProcess(length_scale=0.5, alpha=1e-4).fit(t)
     return M.regression(m.predict_with_std(t.df), "v").select((F.col("r2") > 0.5).alias("good"))
 
 
@@ -269,7 +268,7 @@ QUERIES = {
     "quantile_gb_fit": lambda s, d: B.quantile_gb(0.9).fit(price_task(s, d)).predict(price_task(s, d).df).agg(F.round(F.avg((F.col("l_extendedprice") <= F.col("predicted")).cast("double")), 1).alias("below")),
     "goss_fit": lambda s, d: r2(s, lambda: B.lightgbm(n_estimators=30, top_rate=0.2, other_rate=0.1, subsample=0.8, colsample=0.75), price_task(s, d)),
     "linear_svm_fit": lambda s, d: accuracy(s, K.LinearSVM, quality(s, d)),
-    "kernel_svm_fit": lambda s, d: accuracy(s, K.KernelSVM, quality(s, d).rows("doc_id % 3 = 0"), 2),
+    "kernel_svm_fit": lambda s, d: accuracy(s, K.KernelSVM, quality(s, d), 2),
     "elm_fit": lambda s, d: accuracy(s, K.ELM, quality(s, d), 2),
     "gaussian_process_fit": gp,
     "knn_learner": lambda s, d: r2(s, lambda: KNN(5), place_task(s, d)),
@@ -291,7 +290,7 @@ QUERIES = {
     "hoeffding_tree": online(O.hoeffding_tree),
     "adaptive_forest": online(lambda: O.adaptive_random_forest(4, rate=2.0)),
     "mondrian_forest": online(lambda: O.mondrian_forest(3, lifetime=0.5)),
-    "geo_xgboost_fit": lambda s, d: r2(s, lambda: G.GeoXGBoost(["x", "y"], n_estimators=10, max_depth=3), place_task(s, d).rows("vec_id % 4 = 0"), 1),
+    "geo_xgboost_fit": lambda s, d: r2(s, lambda: G.GeoXGBoost(["x", "y"], n_estimators=10, max_depth=3), place_task(s, d), 1),
     "kriging_hybrid_fit": lambda s, d: r2(s, lambda: G.KrigingHybrid(L.LinearRegression, ["x", "y"]), place_task(s, d)),
     "adasyn_rows": adasyn_rows,
     "spatial_smote": near_smote,
@@ -310,6 +309,8 @@ _stump = f"""WITH g AS (SELECT l_quantity AS x, count(*) FILTER ({_y} = 0) AS a,
 _near_t = "b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts), s AS (SELECT vec_id, (x - x0) / greatest(x1 - x0, 1e-10) AS u, (y - y0) / greatest(y1 - y0, 1e-10) AS v, (x * 2.0::DOUBLE - x0 * 2.0::DOUBLE) / greatest(x1 * 2.0::DOUBLE - x0 * 2.0::DOUBLE, 1e-10) AS t FROM pts, b)"
 _nation = "SELECT c_nationkey AS n, sum(c_acctbal) AS s, count(*) AS c FROM customer GROUP BY 1"
 ORACLES = {
+    # Values and base sum to the prediction.
+    "shap_efficiency": "SELECT 0.0::DOUBLE AS gap, count(*) AS n FROM customer",
     "tree_gini_stump": _stump + " SELECT l_quantity, predicted, p0 FROM r",
     "adaboost_stump": _stump + " SELECT l_quantity, predicted FROM r",
     "tree_depth_two": """WITH g AS (SELECT l_quantity AS x, sum(l_extendedprice) AS s, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), a AS (SELECT x, sum(s) OVER (ORDER BY x) AS ls, sum(n) OVER (ORDER BY x) AS ln, sum(s) OVER () AS ts, sum(n) OVER () AS tn, lead(x) OVER (ORDER BY x) AS nx FROM g),
