@@ -3,7 +3,7 @@
 The template names what stands before and after a turn of each role, and which roles carry loss. Texts are
 escaped so that they hold no control string; the escape is undone in reading. Rows of a conversation are sorted by
 turn and pass through the machine one by one: nothing but its state is held, so a conversation of any length, or
-a third of all rows, takes no more memory. Segments come out in order: opening marks, texts and closing marks,
+a third of all rows, takes no more memory; the order of its turns makes it one task's time. Segments come out in order: opening marks, texts and closing marks,
 each with its loss flag; their concatenation is the formatted conversation.
 
 Turn order: an optional system turn first, then user and assistant in turn, beginning with the user and ending
