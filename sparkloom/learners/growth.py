@@ -256,7 +256,9 @@ class Far:
     """Rows in a table of blocks; trees since the last write join the margins on the fly."""
 
     def __init__(self, blocks: DataFrame, flush: int = 10):
-        self.blocks, self.flush = blocks, flush
+        # Dealt evenly once: a table of few files would otherwise be a few tasks at every level.
+        ways = max(2 * blocks.sparkSession.sparkContext.defaultParallelism, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.blocks, self.flush = materialize(blocks.repartition(ways), "blocks"), flush
         self.later: list[tuple[int, Tree]] = []
         self.live: dict[tuple, tuple[Tree, Channels]] = {}
 

@@ -75,7 +75,7 @@ def _pairs(t: np.ndarray, e: np.ndarray, r: np.ndarray, zone: np.ndarray | None
     return float(good), float(total)
 
 
-def concordance(df: DataFrame, time: str, event: str, risk: str, size: int = 3000) -> DataFrame:
+def concordance(df: DataFrame, time: str, event: str, risk: str, size: int = 1000) -> DataFrame:
     """(concordant, comparable, c_index). Pairs at one time, one of them an event, count a half; of others the earlier must be an event.
 
     Times and risks are cut into ranges of about ``size`` rows. Pairs in different ranges of both are counted from the
