@@ -141,12 +141,15 @@ class Booster(Learner):
         w = F.col(task.weight).cast("double") if task.weight else F.lit(1.0)
         rows = task.df.select(y.alias("y"), w.alias("w")).where("w > 0")
         classes = [F.sum(F.when(F.col("y") == k, F.col("w")).otherwise(0.0)) / F.sum("w") for k in range(obj.outputs)] if name == "softmax" else []
-        n, mean, q, *shares = rows.agg(F.count("*"), F.sum(F.col("w") * F.col("y")) / F.sum("w"), F.percentile_approx("y", self.tau, 100_000), *classes).first()
+        quantile = F.percentile_approx("y", self.tau, 100_000) if name == "quantile" else F.lit(0.0)
+        n, mean, q, *shares = rows.agg(F.count("*"), F.sum(F.col("w") * F.col("y")) / F.sum("w"), quantile, *classes).first()
         if not n:
             raise FitError("no rows")
         start = obj.start(float(mean), float(q), shares)
         blocks = lambda df: pack(df, task.features, cuts, y, w, start)
-        store = store_of(blocks(task.df), self.local_cells)
+        # Squared errors have gradients that are linear in the target; draws are of single rows.
+        drawn = self.subsample < 1 or (self.top_rate < 1 and self.other_rate > 0)
+        store = store_of(pack(task.df, task.features, cuts, y, w, start, merge="features" if name == "squared" and not drawn else "rows"), self.local_cells)
         watch = store_of(blocks(self.eval_set), self.local_cells) if self.early_stopping else None
         p, weighted, rng = len(cuts), task.weight is not None, np.random.default_rng(self.seed)
         how = self._how(task, cuts, obj)
@@ -214,9 +217,9 @@ class Booster(Learner):
         seed, sub, plain = self.seed, self.subsample, self.plain
         one_sided, amplify, cut = self.top_rate < 1 and self.other_rate > 0, 1.0, 0.0
         if one_sided:
-            size = lambda v: sum(np.abs(obj.gradients(v.y, v.m, k)[0] * v.w) for k in range(obj.outputs))
+            size = lambda v: sum(np.abs(obj.gradients(v.y, v.m, k)[0] * (v.w if v.c is None else v.w / v.c)) for k in range(obj.outputs))
             top = _largest(store, size)
-            counts = store.total(lambda v: np.histogram(size(v), 4096, (0, top))[0]) if top > 0 else np.ones(4096)
+            counts = store.total(lambda v: np.histogram(size(v), 4096, (0, top), weights=v.c)[0]) if top > 0 else np.ones(4096)
             above = np.cumsum(counts[::-1])[::-1]
             whole = above[0]
             at = int(np.argmin(np.abs(above - self.top_rate * whole)))
@@ -228,15 +231,23 @@ class Booster(Learner):
             g, h = obj.gradients(v.y, v.m, key[1])
             if plain:
                 h = None
-            scale, rows = v.w if weighted else None, None
+            scale, rows, n = v.w if weighted or v.c is not None else None, None, v.c
             if one_sided:
                 large = size(v) >= cut
-                rows = large | (v.random(seed, r, 1) < share)
+                if n is None:
+                    rows = large | (v.random(seed, r, 1) < share)
+                else:
+                    n = np.where(large, n, v.binomial(n, share, seed, r, 1))
                 scale = np.where(large, 1.0, amplify) * (1.0 if scale is None else scale)
-            if sub < 1:
+            if sub < 1 and n is None:
                 drawn = v.random(seed, r, 0) < sub
                 rows = drawn if rows is None else rows & drawn
-            return [g if scale is None else g * scale, scale if h is None else h if scale is None else h * scale, None], rows
+            elif sub < 1:
+                n = v.binomial(n, sub, seed, r, 0)
+            if n is not v.c:
+                # Of equal rows each is drawn by itself.
+                rows, scale = n > 0, scale * (n / v.c)
+            return [g if scale is None else g * scale, scale if h is None else h if scale is None else h * scale, n], rows
 
         return channels
 
