@@ -25,7 +25,7 @@ def test_pairs_are_those_of_brute_force():
     for k in (1, 2, 5, 40, 200):
         t, r, e = rng.integers(0, k, 150).astype(float), rng.integers(0, 9, 150) / 7 + rng.choice([0.0, 4e-11], 150), rng.integers(0, 2, 150).astype(float)
         r[:5] = np.nan
-        assert V._pairs(t, np.ones(150), e, r) == brute(t, e, r)
+        assert V._counted(t, np.ones(150), e, r) == brute(t, e, r)
 
 
 def test_ranges_and_copies(spark):
@@ -42,5 +42,5 @@ def test_work_is_not_that_of_all_pairs():
 
     rng = np.random.default_rng(3)
     began = time.process_time()
-    good, total = V._pairs(rng.random(200_000), np.ones(200_000), np.ones(200_000), rng.random(200_000))
+    good, total = V._counted(rng.random(200_000), np.ones(200_000), np.ones(200_000), rng.random(200_000))
     assert total == 200_000 * 199_999 / 2 and abs(good / total - 0.5) < 0.01 and time.process_time() - began < 20
