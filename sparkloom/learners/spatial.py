@@ -161,7 +161,7 @@ class GeoXGBoost(Learner):
                     model = boost_rows(np.array([g["x"] for g in group], float)[keep], np.array([g["y"] for g in group], float)[keep], w[keep], how)
                     local = abs(target - apply_rows(model, np.array([v], float))[0])
                     alphas.append(fixed if fixed is not None else 1.0 if local <= e else max(0.0, 1 - (local - e) / local))
-                    models.append(json.dumps({"cuts": [c.tolist() for c in model[0]], "trees": [vars(t) for t in model[1]], "start": model[2]}, default=float))
+                    models.append(json.dumps({"cuts": [c.tolist() for c in model[0]], "trees": [t.__getstate__() for t in model[1]], "start": model[2]}, default=float))
                 yield pa.RecordBatch.from_arrays([b["_s"], *(b[c] for c in coords), pa.array(alphas, pa.float64()), pa.array(models, pa.string())], ["_s", *coords, "alpha", "model"])
 
         schema = "_s long, " + ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in coords) + ", alpha double, model string"
