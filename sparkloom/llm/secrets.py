@@ -35,12 +35,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
-MIN_ASSIGN = 8
+MIN_ASSIGN, MIN_HEX = 8, 32
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 #: Candidates of this length or more have a background of their own.
 LONG = 16
 ALPHABET = 66
+ANY = math.log(ALPHABET)
 #: Scored candidates that a task remembers.
 CACHE = 200_000
 
@@ -53,14 +54,20 @@ def base_spans(text: str) -> list[Span]:
     The quantifiers that demand 16 and 32 characters find the same runs as open ones whose short matches are
     dropped. Assignments are matched openly: a match that is dropped still takes its text.
     """
+    return spans_and_words(text)[0]
+
+
+def spans_and_words(text: str) -> tuple[list[Span], list[str]]:
+    """The base spans, and the whole tokens of 8 or more characters. Digits in base 16 are token characters, so long runs of them are in long tokens only."""
     out: list[Span] = []
-    low = text.lower()
+    low, words = text.lower(), CANDIDATE.findall(text)
     if "passw" in low or "secret" in low or "token" in low or "key" in low:
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    return sorted(out)
+    if max(map(len, words), default=0) >= MIN_HEX:
+        out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(out), words
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
@@ -108,11 +115,11 @@ class Automaton:
             self.final[q] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
-        self.log: list[dict[str, float]] = []
+        self.log: list[dict[str, tuple[float, int]]] = []
         self.rest: list[float] = []
         for q in range(len(self.next)):
             whole = self.total[q] - self.final[q] + 0.5 * ALPHABET
-            self.log.append({c: math.log((n + 0.5) / whole) for c, n in self.flow[q].items()})
+            self.log.append({c: (math.log((n + 0.5) / whole), self.next[q][c]) for c, n in self.flow[q].items()})
             self.rest.append(math.log(0.5 / whole))
         # Rare states merge whatever their depth, so the length has a distribution of its own: as seen, and a hundred-thousandth geometric.
         self.sizes = Counter(map(len, words))
@@ -174,11 +181,12 @@ class Automaton:
     def score(self, word: str) -> float:
         """Log-likelihood of the whole word and of its length. Beyond the known transitions each character is one of the alphabet."""
         q, out = 0, self.length(len(word))
+        log = self.log
         for i, c in enumerate(word):
-            out += self.log[q].get(c, self.rest[q])
-            if c not in self.next[q]:
-                return out - (len(word) - i - 1) * math.log(ALPHABET)
-            q = self.next[q][c]
+            if (known := log[q].get(c)) is None:
+                return out + self.rest[q] - (len(word) - i - 1) * ANY
+            out += known[0]
+            q = known[1]
         return out
 
 
@@ -218,10 +226,10 @@ def learn(df: DataFrame, text_col: str = "text", *, train: int = 300, plain: int
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
-                spans = base_spans(text)
+                spans, words = spans_and_words(text)
                 for s, k, e in spans:
                     found[k].add((ASSIGN.match(text, s)[2] if k == 0 else text[s:e])[:longest])
-                for v in {text[s:e] for s, e in candidates(text, spans)} - seen:
+                for v in set([text[s:e] for s, e in candidates(text, spans)] if spans else words) - seen:
                     if len(seen) < CACHE and len(v) <= longest:
                         seen.add(v)
                     found[3 + (len(v) >= LONG)].add(v[:longest])
@@ -243,7 +251,7 @@ class Formats:
 
     def __init__(self, values: list[list[str]], least: int = 30, alpha: float = 0.05, margin: float = 4.0, rare: float = 0.05):
         self.formats = [Automaton(v, alpha) for v in values[:3] if len(v) >= least]
-        self.margin, self.rare, self.cache, plain = margin, math.log(rare), {}, [v for v in values[3:] if v]
+        self.margin, self.rare, self.plain, self.secrets, plain = margin, math.log(rare), set(), set(), [v for v in values[3:] if v]
         self.ground = [Automaton(v, alpha) for v in plain] if self.formats else []
         for _ in range(5 if self.formats else 0):
             left = [[x for x in v if self.excess(x) < self.margin] for v in plain]
@@ -254,23 +262,32 @@ class Formats:
 
     def excess(self, value: str) -> float:
         """Log-likelihood under the likeliest format less that under the likeliest background."""
+        best, plain = self._bounds(value)
+        return best - max(plain, *(a.score(value) for a in self.ground))
+
+    def _bounds(self, value: str) -> tuple[float, float]:
+        """Log-likelihood under the likeliest format, and under the background of any characters alike."""
         n = len(value)
-        plain = self.rare + max((a.length(n) for a in self.ground), default=0.0) - n * math.log(ALPHABET)
-        return max(a.score(value) for a in self.formats) - max(plain, *(a.score(value) for a in self.ground))
+        plain = self.rare + max((a.length(n) for a in self.ground), default=0.0) - n * ANY
+        return max(a.score(value) for a in self.formats), plain
 
     def secret(self, value: str) -> bool:
-        if not self.formats:
+        if not self.formats or value in self.plain:
             return False
-        if (known := self.cache.get(value)) is None:
-            known = self.excess(value) >= self.margin
-            if len(self.cache) < CACHE and len(value) <= 256:
-                self.cache[value] = known
+        if value in self.secrets:
+            return True
+        best, plain = self._bounds(value)
+        # The likelier background is no less likely than that of any characters, which most values don't exceed.
+        known = best - plain >= self.margin and best - max(plain, *(a.score(value) for a in self.ground)) >= self.margin
+        if len(self.plain) + len(self.secrets) < CACHE and len(value) <= 256:
+            (self.secrets if known else self.plain).add(value)
         return known
 
     def spans(self, text: str) -> list[Span]:
         """Base and format spans by start, then kind."""
-        base = base_spans(text)
-        if not self.formats:
+        base, words = spans_and_words(text)
+        # Without base spans the candidates are the whole tokens; where none is a secret, their places needn't be found.
+        if not self.formats or (not base and not any(map(self.secret, set(words) - self.plain))):
             return base
         return sorted(base + [(s, 3, e) for s, e in candidates(text, base) if self.secret(text[s:e])])
 
@@ -279,9 +296,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, train
     """(id, spans array<struct<kind, start, end>>) of every row, by start, then kind. A format is learned from
     ``least`` to ``train`` labelled values, each background from at most ``plain``."""
     values = learn(df, text_col, train=train, plain=plain, longest=longest)
+    formats = Formats(values, least, alpha, margin)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats = Formats(values, least, alpha, margin)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in sliced(batches):
             out = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in formats.spans(text or "")] for text in b.column(1).to_pylist()]
@@ -297,9 +314,9 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", *, tra
     """
     values = learn(df, text_col, train=train, plain=plain, longest=longest)
     at, names = df.columns.index(text_col), df.columns
+    formats = Formats(values, least, alpha, margin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats = Formats(values, least, alpha, margin)
         for b in sliced(batches):
             texts = []
             for text in b.column(at).to_pylist():

@@ -492,3 +492,38 @@ def test_similar_sets_are_those_of_brute_force():
         got = [min(a, b) if g in (a, b) else g for g in got]
     assert got == group and group[-1] == len(sets) - 2 and 8 < len(set(group)) < 60
     assert simhash.similar([], 0.8) == []
+
+
+def test_formats_are_inferred_once_and_backgrounds_seldom_asked(spark):
+    """Each task inferred all automata anew, and every value was scored by all of them."""
+    rng = random.Random(11)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys, plain = [f"sk{word('0123456789', 12)}" for _ in range(200)], [word("aeioulmnrst", rng.randint(8, 14)) for _ in range(400)]
+    formats = secrets.Formats([keys[:100], [], [], plain[:300], plain[:5]])
+    asked, formats.ground = [], [Asked(a) for a in formats.ground]
+    for v in keys[100:] + plain[300:] + [word("0123456789abcxyz/+=", 20) for _ in range(100)]:
+        want = formats.excess(v) >= formats.margin
+        asked.append((a := sum(g.n for g in formats.ground), formats.secret(v), sum(g.n for g in formats.ground) - a))
+        assert asked[-1][1] == want == formats.secret(v)
+    assert sum(x[1] for x in asked) >= 90 and sum(n > 0 for _, found, n in asked[100:200]) < 50
+    text = f"{plain[0]} {keys[150]}/x {plain[350]} token={plain[1]} " + "0f" * 20
+    base = secrets.base_spans(text)
+    assert [k for _, k, _ in base] == [0, 2]
+    assert formats.spans(text) == sorted(base + [(s, 3, e) for s, e in secrets.candidates(text, base) if formats.secret(text[s:e])])
+    made = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(secrets, "Formats", lambda *a, f=secrets.Formats: made.append(f(*a)) or made[-1])
+        rows = spark.createDataFrame([(i, f"token={k} {p}") for i, (k, p) in enumerate(zip(keys, plain))], "doc_id long, text string").repartition(4)
+        assert secrets.scan(rows).count() == secrets.redact(rows).count() == 200
+    assert len(made) == 2
+
+
+class Asked:
+    """An automaton that counts its scores."""
+
+    def __init__(self, automaton):
+        self.automaton, self.n, self.length = automaton, 0, automaton.length
+
+    def score(self, word):
+        self.n += 1
+        return self.automaton.score(word)
