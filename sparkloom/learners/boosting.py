@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.errors import FitError, NotSupported
 from sparkloom.functions.expr import md5_key, prefix_sums
-from sparkloom.learners.growth import Growth, Tree, View, bin_edges, grow, grow_leaves, grow_oblivious, importances, pack, scored, store_of
+from sparkloom.learners.growth import Far, Growth, Tree, View, bin_edges, grow, grow_leaves, grow_oblivious, importances, pack, scored, store_of
 from sparkloom.storage import materialize
 from sparkloom.task import Learner, Model, Task
 
@@ -165,14 +165,17 @@ class Booster(Learner):
             grown, leaves = [], []
             for k in range(obj.outputs):
                 t, key = Tree(), (r, k)
-                store.open(key, t, lambda v, key, take=take: take(v, key))
+                # A tree over Spark grows from one job's sums where its features have few combinations of bins.
+                near = store.combined(key, take, cuts, how.allowed) if isinstance(store, Far) else None
+                place, channels = near or (store, take)
+                place.open(key, t, channels)
                 if self.growth == "leaf":
-                    grow_leaves(store, key, t, how, self.leaves, r)
+                    grow_leaves(place, key, t, how, self.leaves, r)
                 elif self.growth == "oblivious":
-                    grow_oblivious(store, key, t, how, r)
+                    grow_oblivious(place, key, t, how, r)
                 else:
-                    grow(store, [key], [t], how, r)
-                at = store.close(key)
+                    grow(place, [key], [t], how, r)
+                at = place.close(key) if place is store else None
                 if self.plain and name != "squared":
                     self._refit(store, t, obj, k, weighted)
                 t.value = [float(v) * self.learning_rate for v in t.value]
@@ -218,8 +221,7 @@ class Booster(Learner):
         one_sided, amplify, cut = self.top_rate < 1 and self.other_rate > 0, 1.0, 0.0
         if one_sided:
             size = lambda v: sum(np.abs(obj.gradients(v.y, v.m, k)[0] * (v.w if v.c is None else v.w / v.c)) for k in range(obj.outputs))
-            top = _largest(store, size)
-            counts = store.total(lambda v: np.histogram(size(v), 4096, (0, top), weights=v.c)[0]) if top > 0 else np.ones(4096)
+            top, counts = _spread(store, size)
             above = np.cumsum(counts[::-1])[::-1]
             whole = above[0]
             at = int(np.argmin(np.abs(above - self.top_rate * whole)))
@@ -267,10 +269,26 @@ class Booster(Learner):
         t.value = [float(-scale * a / b) if b > 1e-12 else 0.0 for a, b in zip(g, h, strict=True)]
 
 
-def _largest(store, f) -> float:
-    """The largest value of ``f``, by sums only: of powers of two that it doesn't pass."""
-    counts = store.total(lambda v: np.bincount(np.clip(np.frexp(np.maximum(f(v), 1e-300))[1] + 1024, 0, 2047), minlength=2048))
-    return float(2.0 ** (int(np.flatnonzero(counts).max()) - 1024)) if counts.any() else 0.0
+def _spread(store, size) -> tuple[float, np.ndarray]:
+    """The least power of two above ``size`` of all rows, and counts of 4,096 equal bins below it.
+
+    One request has both where the power is that of the round before.
+    """
+    for guess in (store.top, None):
+        guess = store.top if guess is None else guess
+
+        def f(v: View, guess=guess) -> np.ndarray:
+            s = size(v)
+            powers = np.bincount(np.clip(np.frexp(np.maximum(s, 1e-300))[1] + 1024, 0, 2047), minlength=2048)
+            bins = np.minimum(s * (4096 / guess), 4095).astype(np.int64) if guess else np.zeros(0, np.int64)
+            return np.concatenate([powers, np.bincount(bins, v.c if guess else None, 4096)])
+
+        got = np.asarray(store.total(f))
+        powers = np.flatnonzero(got[:2048])
+        store.top = float(2.0 ** (int(powers.max()) - 1024)) if len(powers) else 0.0
+        if store.top == guess:
+            break
+    return store.top, got[2048:] if store.top > 0 else np.ones(4096)
 
 
 @dataclass

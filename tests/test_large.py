@@ -153,3 +153,33 @@ def test_leaf_growth_over_spark_asks_for_many_leaves_at_once(spark, monkeypatch)
         if "top_rate" not in options:
             near = B.lightgbm(n_estimators=1, leaves=16, **options).fit(t).trees[0][1]
             assert (far.feature, far.bin, far.left, far.right) == (near.feature, near.bin, near.left, near.right) and np.allclose(far.value, near.value)
+
+
+def test_trees_over_spark_grow_from_sums_by_combinations_of_bins(spark):
+    """A round of a table in Spark took a job for each few splits; rows of equal bins are now summed in one, and the trees stay the same."""
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.integers(9)) if i % 13 else None, float(rng.integers(20)) if i % 7 else float("nan"), int(rng.integers(5))) for i in range(3000)]
+    df = spark.createDataFrame([(i, a, b, c, float((a or 3) + rng.normal()), int((a or 3) + c + rng.normal() > 6)) for i, a, b, c in rows], "id long, a double, b double, c int, y double, k int").cache()
+    price, kind = regression(df, ["a", "b", "c"], "y", ["id"]), classification(df, ["a", "b"], "k", ["id"])
+    drawn = {"n_estimators": 3, "leaves": 6, "top_rate": 0.2, "other_rate": 0.1, "subsample": 0.8, "colsample": 0.7}
+    for make, t in (
+        (lambda n: B.lightgbm(**drawn, local_cells=n), price),
+        (lambda n: B.xgboost(n_estimators=2, max_depth=3, subsample=0.7, local_cells=n), regression(df, ["a", "c"], "y", ["id"]).with_categories(["c"])),
+        (lambda n: B.catboost(n_estimators=2, max_depth=3, subsample=0.7, local_cells=n), price),
+        (lambda n: B.gradient_boosting(n_estimators=2, subsample=0.7, local_cells=n), kind),
+    ):
+        want = make(10**7).fit(t)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(G.Far, "histograms", None)
+            far = make(0).fit(t)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(G, "COMBINED", 1)
+            by_jobs = make(0).fit(t)
+        for got in (far, by_jobs):
+            for (_, a), (_, b) in zip(want.trees, got.trees, strict=True):
+                assert a.feature == b.feature and a.bin == b.bin and a.missing_left == b.missing_left and np.allclose(a.value, b.value)
+        assert len(want.trees[0][1].feature) > 3
+    # Doubles are read from their own columns, with nulls, NaN and infinities.
+    one = want.predict(df).orderBy("id").select("predicted", "probabilities").collect()
+    two = want.predict(df.withColumns({c: F.col(c).cast("float") for c in ("a",)})).orderBy("id").select("predicted", "probabilities").collect()
+    assert one == two
