@@ -107,10 +107,24 @@ class Scorer:
             self.rows, self.table = {}, self.table[:0]
         fresh = [c for c in stretches if c not in self.rows]
         new = np.zeros((len(fresh), len(self.langs) + 1))
-        for row, c in zip(new, fresh, strict=True):
+        get, rows, at = self.known.get, [], []
+        for k, c in enumerate(fresh):
+            # A known word has letters only, so such a stretch is that word.
+            if (i := get(c)) is not None:
+                rows.append(k)
+                at.append(i)
+                continue
             for w in WORD.findall(c):
-                row[:-1] += self.vector(w)
-                row[-1] += 1
+                if (i := get(w)) is not None:
+                    rows.append(k)
+                    at.append(i)
+                else:
+                    new[k, :-1] += self.vector(w)
+                    new[k, -1] += 1
+        if rows:
+            # Known words of all stretches together.
+            np.add.at(new[:, :-1], rows, self.word_scores[at])
+            np.add.at(new[:, -1], rows, 1)
         self.rows.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh)), strict=True))
         self.table = np.concatenate([self.table, new])
 
